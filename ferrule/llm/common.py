@@ -155,3 +155,37 @@ def word_ids(path: str) -> WordIds:
 
 def ids_crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def sum_arrays(rows: DataFrame) -> DataFrame:
+    """Add int64 arrays, held as bytes, of rows ``name string, part int, data binary`` with the same name and part."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = None
+        for x in table.column("data").to_pylist():
+            x = np.frombuffer(x, np.int64)
+            total = x.copy() if total is None else total + x
+        return pa.table({"name": table.column("name").slice(0, 1), "part": table.column("part").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary())})
+
+    return rows.groupBy("name", "part").applyInArrow(add, "name string, part int, data binary")
+
+
+def array_rows(arrays: dict[str, np.ndarray], width: int = 1 << 14) -> pa.RecordBatch:
+    """A task's share of some arrays, in slices that :func:`sum_arrays` adds."""
+    names, parts, data = [], [], []
+    for name, x in arrays.items():
+        for k in range(0, len(x), width):
+            if (part := x[k : k + width]).any():
+                names.append(name)
+                parts.append(k // width)
+                data.append(part.astype(np.int64).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.int32()), pa.array(data, pa.binary())], ["name", "part", "data"])
+
+
+def gathered(rows: DataFrame, size: dict[str, int], width: int = 1 << 14) -> dict[str, np.ndarray]:
+    """Summed arrays on the driver; ``size`` bounds what comes: each array has a fixed length."""
+    out = {k: np.zeros(n, np.int64) for k, n in size.items()}
+    for r in sum_arrays(rows).collect():
+        x = np.frombuffer(r.data, np.int64)
+        out[r.name][r.part * width : r.part * width + len(x)] = x
+    return out

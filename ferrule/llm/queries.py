@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_recipes, common, langid, packing, wavelet
+from . import chunk_recipes, common, decontaminate, langid, packing, simhash, url_filter, wavelet, weak_labels
 
 
 def vocabulary() -> str:
@@ -28,12 +28,29 @@ def op6_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(common.read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(common.read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op7_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.judge(common.read(spark, sf_dir, "documents", "doc_id", "text"), common.read(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(common.read(spark, sf_dir, "documents", "doc_id", "text"), common.read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op9_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(common.read(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_chunk_recipes, op4_hierarchical_packing, op6_wavelet_matrix, op10_language_id)}
+    named = (op2_url_filter, op3_chunk_recipes, op4_hierarchical_packing, op6_wavelet_matrix, op7_weak_supervision, op8_qgram_decontamination, op9_simhash_pigeonhole, op10_language_id)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
