@@ -160,7 +160,7 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     words = spark.sparkContext.broadcast(unigrams(rows, seeds))
     counts = bayes(rows, words, seeds)
     n, counts = counts[:, -1], counts[:, :-1]
-    logs = np.log(counts + 1.0) - np.log(counts.sum(1, keepdims=True) + counts.shape[1])
+    logs = np.log(counts + 0.01) - np.log(counts.sum(1, keepdims=True) + 0.01 * counts.shape[1])
     odds = spark.sparkContext.broadcast(((logs[1] - logs[0]).astype(np.float32), float(np.log((n[1] + 1) / (n[0] + 1)))))
 
     def make():

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WORD = re.compile(r"[^\W\d_]+")
-BEGINNINGS = (5, 6, 7)
+BEGINNINGS = (4, 5, 6, 7)
 VOTERS = 12
 CLEAN = 11  # the voter that votes for clean; all others vote for toxic
 
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4096, most_features
     lift = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("clean") + 0.5) / (n0 + 1))
     mined = (
         common.arrow_map(texts, count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .filter((F.col("toxic") >= max(4, n1 // 500)) & (lift >= 4))
+        .filter((F.col("toxic") >= max(5, n1 // 250)) & (lift >= 20))
         .orderBy((F.col("toxic") * F.log(lift)).desc(), "feature").limit(most_features).collect()
     )
     features = tuple(r.feature for r in mined)
