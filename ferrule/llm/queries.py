@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_recipes, common, decontaminate, langid, packing, simhash, url_filter, wavelet, weak_labels
+from . import chunk_recipes, common, decontaminate, langid, packing, simhash, suffix_dedup, url_filter, wavelet, weak_labels
 
 
 def vocabulary() -> str:
@@ -24,6 +24,10 @@ def op4_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
 
 
+def op5_column_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(common.read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(common.read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
 
@@ -49,9 +53,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_url_filter, op3_chunk_recipes, op4_hierarchical_packing, op6_wavelet_matrix, op7_weak_supervision, op8_qgram_decontamination, op9_simhash_pigeonhole, op10_language_id)
+    named = (op2_url_filter, op3_chunk_recipes, op4_hierarchical_packing, op5_column_suffix_dedup, op6_wavelet_matrix, op7_weak_supervision, op8_qgram_decontamination, op9_simhash_pigeonhole, op10_language_id)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chunk_recipes": chunk_recipes.ORACLE_SQL}
+    return {"op3_chunk_recipes": chunk_recipes.ORACLE_SQL, "op5_column_suffix_dedup": suffix_dedup.ORACLE_SQL}
