@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_recipes, common, decontaminate, langid, packing, simhash, suffix_dedup, url_filter, wavelet, weak_labels
+from . import chunk_recipes, common, decontaminate, hpylm, langid, packing, simhash, suffix_dedup, url_filter, wavelet, weak_labels
 
 
 def vocabulary() -> str:
@@ -32,6 +32,10 @@ def op6_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(common.read(spark, sf_dir, "documents", "doc_id", "text"), vocabulary())
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(common.read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(common.read(spark, sf_dir, "pages", "page_id", "url", "html"))
 
@@ -53,7 +57,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_url_filter, op3_chunk_recipes, op4_hierarchical_packing, op5_column_suffix_dedup, op6_wavelet_matrix, op7_weak_supervision, op8_qgram_decontamination, op9_simhash_pigeonhole, op10_language_id)
+    named = (op1_pitman_yor, op2_url_filter, op3_chunk_recipes, op4_hierarchical_packing, op5_column_suffix_dedup, op6_wavelet_matrix, op7_weak_supervision, op8_qgram_decontamination, op9_simhash_pigeonhole, op10_language_id)
     return {f.__name__: f for f in named}
 
 

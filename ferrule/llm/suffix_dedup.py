@@ -268,18 +268,12 @@ def equal_windows(texts: list[bytes], k: int = K) -> list[np.ndarray]:
     return [np.stack([text[r], start[r]], axis=1) for r in np.split(rows, cut) if len(r) > 1]
 
 
-def _notes(folder: str, src: int, kinds: tuple[int, ...]) -> list[bytes]:
-    """A scan task's notes from a staged table in the shared folder."""
-    import pyarrow.dataset as ds
-
-    from .wavelet import _filesystem
-
-    store, root = _filesystem(folder)
-    names = [i.path for i in store.get_file_info(__import__("pyarrow").fs.FileSelector(root)) if i.path.endswith(".parquet")]
-    if not names:
-        return []
-    found = ds.dataset(names, filesystem=store, format="parquet").to_table(columns=["data"], filter=(ds.field("src") == src) & ds.field("kind").isin(list(kinds)))
-    return found.column("data").to_pylist()
+def _notes(folder: str, src: int, parts: int, kind: int) -> list[bytes]:
+    """A scan task's notes of a kind from a shelved table."""
+    out = []
+    for b in common.read_part(folder, src % parts, ["kind", "src", "data"]):
+        out += [d for k, s, d in zip(*(c.to_pylist() for c in b.columns), strict=True) if k == kind and s == src]
+    return out
 
 
 def _shelve(rows: DataFrame, parts: int, name: str) -> str:
@@ -377,7 +371,7 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 8192) -> DataF
         from pyspark import TaskContext
 
         src = TaskContext.get().partitionId()
-        want = np.concatenate([np.zeros(0, WANT), *(np.frombuffer(x, WANT) for x in _notes(first, src, (WANTED,)))])
+        want = np.concatenate([np.zeros(0, WANT), *(np.frombuffer(x, WANT) for x in _notes(first, src, parts, WANTED))])
         want = want[np.argsort(want["row"], kind="stable")]
         used = 0
         for b in batches:
@@ -467,7 +461,7 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 8192) -> DataF
         from pyspark import TaskContext
 
         src = TaskContext.get().partitionId()
-        spots = np.concatenate([np.zeros(0, SPOT), *(np.frombuffer(x, SPOT) for f in (first, second) for x in _notes(f, src, (DUP,)))])
+        spots = np.concatenate([np.zeros(0, SPOT), *(np.frombuffer(x, SPOT) for f in (first, second) for x in _notes(f, src, parts, DUP))])
         spots = spots[np.argsort(spots["row"], kind="stable")]
         for b in batches:
             out = []

@@ -164,12 +164,6 @@ class Shard:
         return seq
 
 
-def _filesystem(url: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(url) if "://" in url else (fs.LocalFileSystem(), url)
-
-
 def write_shards(docs: DataFrame, vocabulary: str, folder: str, shard_tokens: int = 2_000_000, end_id: int = END_ID) -> DataFrame:
     """Tokenise, range-partition by doc_id and write shard files; a row for each: ``path, part, shard, n_tokens``.
 
@@ -193,7 +187,7 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, shard_tokens: in
     def pack(batches):
         from pyspark import TaskContext
 
-        store, root = _filesystem(folder)
+        store, root = common.filesystem(folder)
         store.create_dir(root, recursive=True)
         task = TaskContext.get()
         part, shard = task.partitionId(), 0
@@ -245,7 +239,7 @@ def read_shards(files: DataFrame, folder: str) -> DataFrame:
     placed = placed.select("path", "base").repartition(n)
 
     def scan():
-        store, _ = _filesystem(folder)
+        store, _ = common.filesystem(folder)
 
         def f(batch):
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
