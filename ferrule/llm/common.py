@@ -14,7 +14,6 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +65,12 @@ def with_row(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("__row"), *columns)
 
 
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` less the rows that ``dropped (__row)`` names, columns as they were, whatever their names."""
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.struct("*").alias("__doc"))
+    return rows.join(dropped.select("__row"), "__row", "left_anti").select("__doc.*")
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
@@ -104,43 +109,63 @@ def single_threaded() -> None:
     os.environ["RAYON_NUM_THREADS"] = "1"
 
 
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if printable, else one from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
 class WordIds(dict):
     """Token ids of white-space separated chunks, as little-endian uint16 bytes, cached.
 
     The vocabulary's normaliser maps runs of white space to one space and its
     pre-tokenizer drops spaces, so a text's ids are the concatenation of its
-    chunks' ids.  The cache holds ``cap`` chunks; the oldest half goes when full.
+    chunks' ids.  A chunk of plain letters is one piece for the model, which is
+    then asked directly; all others take the library's whole way.  When ``cap``
+    chunks are held, those not seen since the last time that happened go.
     """
 
-    def __init__(self, path: str, cap: int = 500_000):
+    def __init__(self, path: str, cap: int = 300_000):
         single_threaded()
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
-        self.tok, self.cap = Tokenizer.from_file(path), cap
+        self.tok, self.cap, self.old = Tokenizer.from_file(path), cap, {}
         if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("ids are packed in 16 bits; this vocabulary has more")
+        self.model, self.letters = self.tok.model, byte_letters()
+        self.ends = {c: self._whole(c) for c in ".,"}
+
+    def _whole(self, chunk: str) -> bytes:
+        return np.asarray(self.tok.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        got = np.asarray(self.tok.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+        got = self.old.get(chunk)
+        if got is None:
+            word, tail = chunk.lower(), b""
+            if word[-1] in self.ends:
+                word, tail = word[:-1], self.ends[word[-1]]
+            if not word.isalpha() or max(word) >= "\u0300":  # from there on normal forms may differ
+                got = self._whole(chunk)
+            elif word == chunk:
+                text = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+                got = np.asarray([t.id for t in self.model.tokenize(text)], "<u2").tobytes()
+            else:
+                got = self[word] + tail
         self[chunk] = got
         return got
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self) > self.cap:
-            for k in list(islice(self, len(self) // 2)):
-                del self[k]
-            self[""] = b""
-        new = [c for c in chunks if c not in self]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[c] = np.asarray(e.ids, "<u2").tobytes()
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        self.learn(set().union(*cut) if cut else set())
-        return [np.frombuffer(b"".join(map(self.__getitem__, c)), "<u2") for c in cut]
+        out = []
+        for t in texts:
+            if len(self) > self.cap:
+                self.old = dict(self)
+                self.clear()
+                self[""] = b""
+            chunks = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            out.append(np.frombuffer(b"".join(map(self.__getitem__, chunks)), "<u2"))
+        return out
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -189,3 +214,33 @@ def gathered(rows: DataFrame, size: dict[str, int], width: int = 1 << 14) -> dic
         x = np.frombuffer(r.data, np.int64)
         out[r.name][r.part * width : r.part * width + len(x)] = x
     return out
+
+
+def filesystem(url: str):
+    """The store of a shared folder and the folder's path in it, for Python tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(url) if "://" in url else (fs.LocalFileSystem(), url)
+
+
+def read_part(folder: str, part: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows that task ``part`` wrote to a staged table: Spark names files by the task's number."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, root = filesystem(folder)
+    for info in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda i: i.path):
+        if info.base_name.startswith(f"part-{part:05d}-") and info.base_name.endswith(".parquet"):
+            with store.open_input_file(info.path) as f:
+                yield from pq.ParquetFile(f).iter_batches(columns=columns, batch_size=64)
+
+
+def each_part(spark: SparkSession, folder: str, parts: int, columns: list[str], run: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run(part, rows)`` in a task for each part of a table that ``repartitionById(parts, ...)`` dealt and that was then written to ``folder``."""
+
+    def go(batches):
+        for b in batches:
+            for part in b.column(0).to_pylist():
+                yield from run(part, read_part(folder, part, columns))
+
+    return spark.range(0, parts, 1, parts).mapInArrow(go, schema)
