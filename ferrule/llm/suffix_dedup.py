@@ -130,18 +130,20 @@ class Columns:
     def __init__(self, texts: list[bytes], memory: int = 64 << 20):
         self.size = np.array([len(t) for t in texts], np.int64)
         m, longest = len(texts), int(self.size.max(initial=0))
-        grid = np.zeros((longest, m), np.int16)  # row j: the symbol (1 to 256) before the suffix of j bytes, 0: none
         flat = np.frombuffer(b"".join(texts), np.uint8)
+        # symbols are bytes plus 1; UTF-8 has no byte 255, so that 8 bits, which sort twice as fast, do for text
+        self.kind = np.uint8 if flat.max(initial=0) < 255 else np.uint16
+        grid = np.zeros((longest, m), self.kind)  # row j: the symbol before the suffix of j bytes, 0: none
         begin = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
         for j in range(longest):
             ok = self.size > j
-            grid[j, ok] = flat[(begin + self.size - 1 - j)[ok]].astype(np.int16) + 1
+            grid[j, ok] = flat[(begin + self.size - 1 - j)[ok]].astype(self.kind) + self.kind(1)
         # a lost task's files go with it: they have no name
         self.files = [tempfile.SpooledTemporaryFile(max_size=memory) for _ in range(2)]
         self.place = np.arange(m)  # of each text's longest suffix so far
-        self._write(grid[0] if longest else np.zeros(m, np.int16), np.zeros(m, np.uint8))
+        self._write(grid[0] if longest else np.zeros(m, self.kind), np.zeros(m, np.uint8))
         for j in range(1, longest + 1):
-            self._round(grid[j] if j < longest else np.zeros(m, np.int16), self.size >= j)
+            self._round(grid[j] if j < longest else np.zeros(m, self.kind), self.size >= j)
 
     def _write(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
         for f, x in zip(self.files, (bwt, lcp), strict=True):
@@ -151,7 +153,7 @@ class Columns:
 
     def read(self) -> tuple[np.ndarray, np.ndarray]:
         out = []
-        for f, kind in zip(self.files, (np.int16, np.uint8), strict=True):
+        for f, kind in zip(self.files, (self.kind, np.uint8), strict=True):
             f.seek(0)
             out.append(np.frombuffer(f.read(), kind))
         return tuple(out)
@@ -163,17 +165,16 @@ class Columns:
         # rows by (symbol, row): the rank of a row there is the place of its suffix with the symbol in front,
         # once all that are to come are in; rows with no symbol (0) lead to none
         order = np.argsort(bwt, kind="stable")
-        none = int(np.searchsorted(bwt[order], 1)) if n else 0
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
+        none = n - int(np.count_nonzero(bwt))
         who = np.flatnonzero(live)
         old = self.place[who]
-        heads = len(self.size)  # the empty suffixes stay in front
-        at = rank[old] - none + heads  # place among all suffixes after this round
-        by = np.argsort(at)
-        who, old, at = who[by], old[by], at[by]
+        mark = np.zeros(n, bool)
+        mark[old] = True
+        r = np.flatnonzero(mark[order])  # ranks of the texts' rows, ascending; the texts in that order:
+        by = np.argsort(bwt[old].astype(np.int64) * n + old)
+        who, old = who[by], old[by]
+        at = r - none + len(self.size)  # place after this round; the empty suffixes stay in front
         # common prefixes with the neighbours that start with the same symbol
-        r = rank[old]
         symbol = bwt[old]
         up = np.where(r > 0, order[r - 1], 0)
         same_up = (r > 0) & (bwt[up] == symbol)
@@ -185,8 +186,9 @@ class Columns:
         total = n + len(who)
         fresh = np.zeros(total, bool)
         fresh[at] = True
-        new_bwt, new_lcp = np.empty(total, np.int16), np.empty(total, np.uint8)
-        new_bwt[~fresh], new_lcp[~fresh] = bwt, lcp
+        new_bwt, new_lcp = np.empty(total, self.kind), np.empty(total, np.uint8)
+        stay = ~fresh
+        new_bwt[stay], new_lcp[stay] = bwt, lcp
         new_bwt[at], new_lcp[at] = before[who], with_up
         # the row after an inserted one: its prefix in common with it (inserted rows know their own)
         after = at + 1
@@ -248,7 +250,7 @@ def equal_windows(texts: list[bytes], k: int = K) -> list[np.ndarray]:
     bwt, lcp = c.read()
     n = len(bwt)
     order = np.argsort(bwt, kind="stable")
-    none = int(np.searchsorted(bwt[order], 1)) if n else 0
+    none = n - int(np.count_nonzero(bwt))
     heads = len(texts)
     # place -> (text, start): walk from each text's empty suffix to its whole
     text, start = np.full(n, -1, np.int64), np.zeros(n, np.int64)
@@ -263,9 +265,13 @@ def equal_windows(texts: list[bytes], k: int = K) -> list[np.ndarray]:
     joined = lcp >= k  # with the row before
     group = np.cumsum(~joined)
     rows = np.flatnonzero(wide)
+    if not len(rows):
+        return []
     g = group[rows]
+    same = g[1:] == g[:-1]
+    rows, g = (x[np.append(False, same) | np.append(same, False)] for x in (rows, g))
     cut = np.flatnonzero(np.diff(g)) + 1
-    return [np.stack([text[r], start[r]], axis=1) for r in np.split(rows, cut) if len(r) > 1]
+    return [np.stack([text[r], start[r]], axis=1) for r in np.split(rows, cut)] if len(rows) else []
 
 
 def _notes(folder: str, src: int, parts: int, kind: int) -> list[bytes]:
@@ -286,7 +292,7 @@ def _shelve(rows: DataFrame, parts: int, name: str) -> str:
 DUP, WANTED, RUNS = 1, 2, 3
 
 
-def removed(docs: DataFrame, crowd: int = 4096, collection: int = 8192) -> DataFrame:
+def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -373,6 +379,7 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 8192) -> DataF
         src = TaskContext.get().partitionId()
         want = np.concatenate([np.zeros(0, WANT), *(np.frombuffer(x, WANT) for x in _notes(first, src, parts, WANTED))])
         want = want[np.argsort(want["row"], kind="stable")]
+        rows_of = np.ascontiguousarray(want["row"])
         used = 0
         for b in batches:
             out: dict[int, list[bytes]] = {}
@@ -382,7 +389,7 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 8192) -> DataF
                 out.setdefault(int(spread(np.array([anchor], np.uint64), parts)[0]), []).append(head + raw)
 
             for row, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                lo, hi = np.searchsorted(want["row"], [row, row + 1])
+                lo, hi = np.searchsorted(rows_of, [row, row + 1])
                 if lo == hi:
                     continue
                 used += hi - lo
@@ -463,17 +470,18 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 8192) -> DataF
         src = TaskContext.get().partitionId()
         spots = np.concatenate([np.zeros(0, SPOT), *(np.frombuffer(x, SPOT) for f in (first, second) for x in _notes(f, src, parts, DUP))])
         spots = spots[np.argsort(spots["row"], kind="stable")]
+        rows_of, first_of = np.ascontiguousarray(spots["row"]), np.ascontiguousarray(spots["start"])
+        end_of = first_of + spots["n"] + K - 1
         for b in batches:
             out = []
             for row, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                lo, hi = np.searchsorted(spots["row"], [row, row + 1])
+                lo, hi = np.searchsorted(rows_of, [row, row + 1])
                 if lo == hi:
                     out.append((len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
                     continue
-                step = np.zeros(len(raw) + 1, np.int32)
-                np.add.at(step, spots["start"][lo:hi], 1)
-                np.add.at(step, spots["start"][lo:hi] + spots["n"][lo:hi] + K - 1, -1)
+                size = len(raw) + 1
+                step = np.bincount(first_of[lo:hi], minlength=size) - np.bincount(end_of[lo:hi], minlength=size)
                 gone = np.cumsum(step[:-1]) > 0
                 spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
