@@ -104,9 +104,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were."""
-    columns = docs.columns
-    dropped = groups(docs).filter(~F.col("kept")).select("__row")
-    return common.with_row(docs, *columns).join(dropped, "__row", "left_anti").select(*columns)
+    return common.without(docs, groups(docs).filter(~F.col("kept")))
 
 
 ORACLE_SQL = r"""

@@ -295,6 +295,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
     """The rows of ``docs``, columns as they were, without all but one row of each component (smallest doc_id, then first row)."""
-    columns = docs.columns
-    dropped = groups(docs, size, distance).filter("__row <> first_row").select("__row")
-    return common.with_row(docs, *columns).join(dropped, "__row", "left_anti").select(*columns)
+    return common.without(docs, groups(docs, size, distance).filter("__row <> first_row"))

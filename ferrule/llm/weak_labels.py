@@ -99,6 +99,7 @@ def label_model(kinds: dict[int, int], rounds: int = 40) -> tuple[float, np.ndar
     rate = np.stack([np.full(VOTERS, 0.02), np.full(VOTERS, 0.4)])
     rate[:, CLEAN] = 0.95, 0.1
     prior, weight, corr = 0.1, np.ones(VOTERS), np.zeros((VOTERS, VOTERS))
+    weight[CLEAN] = 0  # it votes when no other does, so the others' silence says the same already
     post = np.zeros(len(n))
     for k in range(rounds if len(n) else 0):
         llr = np.where(bits > 0, np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0])))
@@ -117,7 +118,10 @@ def label_model(kinds: dict[int, int], rounds: int = 40) -> tuple[float, np.ndar
                 sd = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
                 parts.append(cov / sd[:, None] / sd)
             corr = (parts[0] + parts[1]) / 2
-            weight = 1 / (1 + np.clip(np.abs(corr) - np.eye(VOTERS), 0, 1).sum(1))
+            near = np.clip(np.abs(corr) - np.eye(VOTERS), 0, 1)
+            near[:, CLEAN] = 0
+            weight = 1 / (1 + near.sum(1))
+            weight[CLEAN] = 0
     return prior, rate, corr, dict(zip(masks.tolist(), post.tolist(), strict=True))
 
 
