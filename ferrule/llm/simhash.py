@@ -293,6 +293,74 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``docs``, columns as they were, without all but one row of each component (smallest doc_id, then first row)."""
-    return common.without(docs, groups(docs, size, distance).filter("__row <> first_row"))
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingles, as ascending 32-bit hashes."""
+    return np.unique(shingle_hashes(text, size).astype(np.uint32)).view(np.int32)
+
+
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, features: int = 2, distance: int = 7) -> DataFrame:
+    """``__row, doc_id, first_row``: groups that pairs of at least ``similarity`` connect.
+
+    Similarity is the Jaccard coefficient of the sets of ``size``-word shingles and
+    is verified exactly.  Candidates are pairs of fingerprints over
+    ``features``-word shingles within ``distance`` bits (shorter shingles keep similar
+    texts' fingerprints closer).  Equal shingle sets fold first.  Only candidates'
+    sets are moved, to the pairs that :func:`links` gives, at most a few a document.
+    """
+
+    def make():
+        def f(batch):
+            fps, sids = [], []
+            for t in batch.column(2).to_pylist():
+                fps.append(fingerprint(shingle_hashes(t, features)))
+                sids.append(xxhash.xxh3_128_digest(shingle_set(t, size).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sids, pa.binary())], ["__row", "doc_id", "fp", "sid"])
+
+        return f
+
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = common.with_row(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marks = common.stage(common.arrow_map(rows, make, "__row long, doc_id long, fp long, sid binary"), "marks")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
+    sets = common.stage(marks.groupBy("sid").agg(F.min("fp").alias("fp"), first).withColumn("at", F.col("first.__row")), "sets")
+    leaders = common.stage(sets.groupBy("fp").agg(F.min("at").alias("leader")), "leaders")
+    pairs = sets.join(leaders, "fp").filter("at <> leader").select(F.col("at").alias("a"), F.col("leader").alias("b"))
+    near = links(leaders, distance).distinct()
+    for side in ("a", "b"):
+        near = near.join(leaders.select(F.col("fp").alias(side), F.col("leader").alias(f"{side}_row")), side)
+    pairs = common.stage(pairs.unionByName(near.select(F.col("a_row").alias("a"), F.col("b_row").alias("b"))), "pairs")
+    # the wanted rows go back to the scan tasks that read them
+    wanted = common.shared_dir(spark, "wanted")
+    ids = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    ids.repartitionById(parts, F.pmod(F.shiftright("row", 33), F.lit(parts)).cast("int")).write.parquet(wanted)
+
+    def cut(batches):
+        from pyspark import TaskContext
+
+        src = TaskContext.get().partitionId()
+        mine = {r for b in common.read_part(wanted, src % parts, ["row"]) for r in b.column(0).to_pylist() if r >> 33 == src}
+        found = 0
+        for b in batches:
+            got = [(r, shingle_set(t, size)) for r, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True) if r in mine]
+            found += len(got)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int32()))], ["at", "shingles"])
+        if found != len(mine):
+            raise RuntimeError("the scan gave other row keys than before; docs must be a stable scan")
+
+    shingles = common.stage(rows.mapInArrow(cut, "at long, shingles array<int>"), "shingles")
+    for side in ("a", "b"):
+        pairs = pairs.join(shingles.select(F.col("at").alias(side), F.col("shingles").alias(f"{side}_set")), side)
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    alike = pairs.filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
+    tree = components(alike)
+    rooted = sets.join(tree.withColumnRenamed("node", "at"), "at", "left").select("sid", "first", F.coalesce("root", "at").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    classes = rooted.select("sid", "root").join(least, "root").select("sid", F.col("first.__row").alias("first_row"))
+    return marks.join(classes, "sid").select("__row", "doc_id", "first_row")
+
+
+def deduplicate(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, columns as they were, without all but one row of each group of :func:`similar` (smallest doc_id, then first row)."""
+    return common.without(docs, similar(docs, size, similarity).filter("__row <> first_row"))

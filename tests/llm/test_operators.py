@@ -230,11 +230,26 @@ def test_simhash(docs, empty):
     for r, x in zip(got, label, strict=True):
         ids = [s.doc_id for s, y in zip(got, label, strict=True) if y == x and s.doc_id is not None]
         assert r.component_id == (min(ids) if ids else None)
-    kept = simhash.deduplicate(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(label))
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_similar(docs, empty):
+    rows = {r["__row"]: (r.doc_id, set(simhash.shingle_set(r.text, 5).tolist())) for r in common.with_row(docs, "doc_id", "text").collect()}
+    alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    label = {r: r for r in rows}
+    for a in rows:
+        for b in rows:
+            if a < b and label[a] != label[b] and alike(rows[a][1], rows[b][1]):
+                label = {k: label[b] if v == label[a] else v for k, v in label.items()}
+    got = {r["__row"]: r.first_row for r in simhash.similar(docs).collect()}
+    want = {frozenset(g) for g in _classes(label).values()}
+    found = {frozenset(g) for g in _classes(got).values()}
+    assert all(any(g <= w for w in want) for g in found)  # nothing is linked that is not similar
+    assert sum(len(g) - 1 for g in found) >= 0.9 * sum(len(w) - 1 for w in want)
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns and kept.count() == len(found) and simhash.deduplicate(empty).count() == 0
+
+
 def _with_text(got, docs):
     texts = {r["__row"]: r.text for r in common.with_row(docs, "text").collect()}
     return [(r, texts[r["__row"]]) for r in got]
