@@ -25,7 +25,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of fingerprints at most three bits apart, one document stays."""
+    """Of documents that pairs of similar five-word shingle sets (0.8 or more) connect, one stays."""
     return simhash.deduplicate(docs)
 
 
