@@ -133,18 +133,12 @@ def allocate(histograms: list[np.ndarray], distance: int, probe_cost: float = 20
 def stars(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (member, centre) that connect exactly what links of at most ``distance`` bits among distinct ``fps`` connect."""
     n = len(fps)
-    parent = np.arange(n)
+    root = np.arange(n)
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = int(parent[i])
-        return i
-
-    def join(a: int, b: int) -> None:
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
+    def merge(roots: np.ndarray) -> None:
+        """Make components one, named by the least of their roots."""
+        if len(roots) > 1:
+            root[np.isin(root, roots)] = roots.min()
 
     leader = np.full(n, -1)
     leaders = []
@@ -154,8 +148,7 @@ def stars(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         near = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= distance)
         leaders.append(i)
         leader[near[leader[near] < 0]] = i
-        for j in near.tolist():
-            join(i, j)
+        merge(np.unique(root[near]))
     # links between followers of different leaders
     if len(leaders) < n:
         crowd: dict[int, np.ndarray] = {}
@@ -168,14 +161,13 @@ def stars(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         for x, a in enumerate(heads.tolist()):
             rest = heads[x + 1 :]
             for b in rest[np.bitwise_count(fps[rest] ^ fps[a]) <= 3 * distance].tolist():
-                if find(a) == find(b):
+                if root[a] == root[b]:
                     continue
                 ga, gb = crowd[a], crowd[b]
                 for k in range(0, len(ga), 256):
                     if (np.bitwise_count(fps[ga[k : k + 256], None] ^ fps[gb]) <= distance).any():
-                        join(a, b)
+                        merge(root[[a, b]])
                         break
-    root = np.array([find(i) for i in range(n)], np.int64)
     moved = np.flatnonzero(root != np.arange(n))
     return fps[moved], fps[root[moved]]
 
