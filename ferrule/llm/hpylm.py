@@ -51,7 +51,7 @@ STRENGTH = 1.0
 EXACT = 64
 START, END = xxhash.xxh3_64_intdigest(b"\x00start"), xxhash.xxh3_64_intdigest(b"\x00end")
 META, TRAIN, HELD = 0, 1, 2
-FLUSH_TOKENS, FLUSH_DOCS = 1_500_000, 60_000
+FLUSH_TOKENS, FLUSH_DOCS = 1_000_000, 60_000
 BLOBS = "place int, kind int, flush long, data binary"
 ARRAYS = "name string, part int, data binary"
 
@@ -62,7 +62,7 @@ def words(text: str | None) -> list[bytes]:
 
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 600_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -93,13 +93,18 @@ def pack_events(word: np.ndarray, context: np.ndarray, doc: np.ndarray) -> bytes
     return _pack(names.astype("<u8"), many, (step & 0xFFFF).astype("<u2"), (step >> 16).astype(np.uint8), doc)
 
 
-def unpack_events(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, events of each, and the events' contexts and documents."""
     names, many, low, high, doc = _unpack(data, "<u8", "<u4", "<u2", "u1", "<u2")
-    step = low.astype(np.int64) | high.astype(np.int64) << 16
-    total = np.cumsum(step)
-    first = np.concatenate([[0], np.cumsum(many)[:-1]]).astype(np.int64)
-    base = (total - step)[first] if len(first) else np.zeros(0, np.int64)
-    return np.repeat(names, many), (total - np.repeat(base, many)).astype(np.int64), doc
+    total = np.cumsum(low.astype(np.int64) | high.astype(np.int64) << 16)
+    ends = np.cumsum(many)
+    base = np.append(0, total[ends[:-1] - 1]) if len(ends) else np.zeros(0, np.int64)
+    return names, many.astype(np.int64), total - np.repeat(base, many), doc
+
+
+def unpack_events(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    names, many, context, doc = unpack_runs(data)
+    return np.repeat(names, many), context, doc
 
 
 def log_stirling(discount: float, n: int = EXACT) -> np.ndarray:
@@ -161,11 +166,20 @@ class Bucket:
     """The restaurants' dishes for the words of one bucket."""
 
     def __init__(self, train: list[bytes], heavy: np.ndarray):
-        parts = [unpack_events(x)[:2] for x in train]
-        word = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
-        context = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-        self.words, w, self.count = np.unique(word, return_inverse=True, return_counts=True)
-        self.dish, self.c = np.unique(w.astype(np.int64) << CONTEXT_BITS | context, return_counts=True)
+        # a blob at a time: what stays of its events are its distinct dishes
+        runs = [_unpack(x, "<u8", "<u4")[0] for x in train]
+        self.words = np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
+        self.count = np.zeros(len(self.words), np.int64)
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in train:
+            names, many, context, _ = unpack_runs(x)
+            w = np.searchsorted(self.words, names)
+            self.count[w] += many
+            k, n = np.unique(np.repeat(w << CONTEXT_BITS, many) | context, return_counts=True)
+            keys.append(k)
+            counts.append(n)
+        self.dish, at = np.unique(np.concatenate(keys), return_inverse=True)
+        self.c = np.bincount(at, np.concatenate(counts), len(self.dish)).astype(np.int64)
         self.w, self.context = self.dish >> CONTEXT_BITS, self.dish & ((1 << CONTEXT_BITS) - 1)
         # the place of each word among the heavy ones, or -1
         at = np.minimum(np.searchsorted(heavy, self.words), max(0, len(heavy) - 1))
@@ -242,8 +256,8 @@ def score(docs: DataFrame, train: "F.Column | None" = None, burn: int = 2, sampl
                     n += len(w) + 1
                     count.update(w)
                     count[b""] += 1
-            if len(count) > 1_000_000:  # a word that holds 1/512 of the task's tokens is never among those let go
-                count = Counter({k: v for k, v in count.items() if v * 100_000 > n})
+            if len(count) > 200_000:  # a word that holds 1/512 of the task's tokens is never among those let go for long
+                count = Counter({k: v for k, v in count.items() if v * 20_000 > n})
         hash_of = lambda w: xxhash.xxh3_64_intdigest(w) if w else END
         found = [(np.uint64(hash_of(w)).astype(np.int64).item(), v) for w, v in count.items() if v * 512 >= n]
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["word", "n"])
@@ -338,38 +352,36 @@ def score(docs: DataFrame, train: "F.Column | None" = None, burn: int = 2, sampl
         totals = shared_last.value
         tables = log_stirling(totals.discount), log_stirling(totals.root_discount)
         bucket, rng = sampled(place, held, totals, tables, burn)
-        spots = [(flush, *unpack_events(d)) for _, flush, d in held]
-        word = np.concatenate([s[1] for s in spots])
-        context = np.concatenate([s[2] for s in spots])
         m = len(bucket.words)
-        w = np.minimum(np.searchsorted(bucket.words, word), max(0, m - 1))
-        ok = bucket.words[w] == word if m else np.zeros(len(word), bool)
-        d = np.minimum(np.searchsorted(bucket.dish, w.astype(np.int64) << CONTEXT_BITS | context), max(0, len(bucket.dish) - 1))
-        seen = ok & (bucket.dish[d] == (w.astype(np.int64) << CONTEXT_BITS | context)) if m else ok
-        count = np.append(np.where(bucket.heavy >= 0, totals.heavy_count[np.maximum(bucket.heavy, 0)], bucket.count), 0)
-        w = np.where(ok, w, m)
-        # a heavy word may have no training token in this bucket
-        at = np.minimum(np.searchsorted(heavy, word), max(0, len(heavy) - 1))
-        stray = ~ok & (heavy[at] == word) if len(heavy) else np.zeros(len(word), bool)
-        c = np.where(stray, totals.heavy_count[at] if len(heavy) else 0, count[w])
-        p = np.zeros(len(word))
         fresh = (STRENGTH + totals.root_discount * totals.root_tables) / (totals.vocabulary + 1)
         heavy_p = (np.maximum(totals.heavy_customers - totals.root_discount * totals.heavy_tables, 0) + fresh) / (totals.root_customers + STRENGTH)
-        back = STRENGTH + totals.discount * totals.context_tables[context]
+        count = np.append(np.where(bucket.heavy >= 0, totals.heavy_count[np.maximum(bucket.heavy, 0)], bucket.count), 0)
+        states = []  # a sample is what its dishes and words weigh
         for _ in range(samples):
             bucket.sweep(totals, tables, rng)
-            parent = np.append(bucket.unigram(totals), fresh / (totals.root_customers + STRENGTH))[w]
-            if stray.any():
-                parent[stray] = heavy_p[at[stray]]
-            own = (bucket.c - totals.discount * bucket.t)[d] * seen if len(bucket.dish) else 0
-            p += (own + back * parent) / (totals.context_customers[context] + STRENGTH)
-        logs, base = np.log10(p / samples), np.log10(c + 1.0)
-        at = 0
-        for flush, own, _, doc in spots:
-            one = slice(at, at + len(own))
-            at += len(own)
+            own = (bucket.c - totals.discount * bucket.t).astype(np.float32)
+            states.append((own, np.append(bucket.unigram(totals), fresh / (totals.root_customers + STRENGTH))))
+        for _, flush, data in held:
+            names, many, context, doc = unpack_runs(data)
+            w = np.minimum(np.searchsorted(bucket.words, names), max(0, m - 1))
+            ok = bucket.words[w] == names if m else np.zeros(len(names), bool)
+            # a heavy word may have no training token in this bucket
+            at = np.minimum(np.searchsorted(heavy, names), max(0, len(heavy) - 1))
+            stray = ~ok & (heavy[at] == names) if len(heavy) else np.zeros(len(names), bool)
+            w = np.where(ok, w, m)
+            c = np.where(stray, totals.heavy_count[at], count[w]) if len(heavy) else count[w]
+            key = np.repeat(w << CONTEXT_BITS, many) | context
+            d = np.minimum(np.searchsorted(bucket.dish, key), max(0, len(bucket.dish) - 1))
+            seen = bucket.dish[d] == key if len(bucket.dish) else np.zeros(len(key), bool)
+            back = STRENGTH + totals.discount * totals.context_tables[context]
+            p = np.zeros(len(key))
+            for own, parents in states:
+                parent = np.where(stray, heavy_p[at], parents[w]) if len(heavy) else parents[w]
+                p += (own[d] * seen if len(own) else 0) + back * np.repeat(parent, many)
+            logs = np.log10(p / samples / (totals.context_customers[context] + STRENGTH))
             docs, k = np.unique(doc, return_inverse=True)
-            data = _pack(docs.astype("<u2"), np.bincount(k, c[one] > 0).astype("<u4"), np.bincount(k, base[one]).astype("<f4"), np.bincount(k, logs[one]).astype("<f4"))
+            c = np.repeat(c, many)
+            data = _pack(docs.astype("<u2"), np.bincount(k, c > 0).astype("<u4"), np.bincount(k, np.log10(c + 1.0)).astype("<f4"), np.bincount(k, logs).astype("<f4"))
             yield pa.RecordBatch.from_arrays([pa.array([flush], pa.int64()), pa.array([TRAIN], pa.int32()), pa.array([data], pa.binary())], ["flush", "kind", "data"])
 
     partial = each(judge, "flush long, kind int, data binary").unionByName(spark.read.schema(BLOBS).parquet(folder).filter(F.col("kind") == META).select("flush", "kind", "data"))
