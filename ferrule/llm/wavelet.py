@@ -48,9 +48,9 @@ def build(ids: np.ndarray, doc_ids: list[int | None], ends: list[int], bits: int
     """The file of one shard: its symbols in document order, document ids and ends."""
     n, blocks = len(ids), -(-len(ids) // BLOCK)
     pack = zstandard.ZstdCompressor(level=1)
-    seq, zeros, heads, payload, at = ids.astype(np.uint32), [], [], [], 0
+    seq, zeros, heads, payload, at = ids.astype(np.uint16 if bits <= 16 else np.uint32), [], [], [], 0
     for plane in range(bits - 1, -1, -1):
-        bit = ((seq >> np.uint32(plane)) & np.uint32(1)).astype(bool)
+        bit = (seq & seq.dtype.type(1 << plane)) != 0
         raw = np.packbits(bit, bitorder="little").tobytes()
         ones, where = [0], [at]
         for k in range(blocks):
@@ -62,12 +62,17 @@ def build(ids: np.ndarray, doc_ids: list[int | None], ends: list[int], bits: int
             where.append(at)
         heads.append(np.asarray(ones + where, "<u8").tobytes())
         zeros.append(n - ones[-1])
-        seq = np.concatenate([seq[~bit], seq[bit]])
+        seq = seq[_stable(bit)]
     head = MAGIC + struct.pack("<4Q", n, bits, len(doc_ids), BLOCK)
     names = np.asarray([NO_ID if x is None else x for x in doc_ids], "<i8").tobytes()
     return b"".join([head, names, np.asarray(ends, "<u8").tobytes(), np.asarray(zeros, "<u8").tobytes(), *heads, *payload])
 
 
+def _stable(bit: np.ndarray) -> np.ndarray:
+    """Places of the 0 bits, then of the 1 bits."""
+    return np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])
+
+
 class Shard:
     """Queries on one shard file held as bytes (or a memory map)."""
 
@@ -154,12 +159,12 @@ class Shard:
     def decode(self) -> np.ndarray:
         """All symbols: planes are undone from the last to the first."""
         blocks = -(-self.n // self.block)
-        seq = np.zeros(self.n, np.uint32)
+        seq = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for p in range(self.bits - 1, -1, -1):
             bit = np.concatenate([self._block(p, k) for k in range(blocks)] or [np.zeros(0, np.uint8)]).astype(bool)
+            seq[int(self.zeros[p]) :] |= seq.dtype.type(1 << (self.bits - 1 - p))
             up = np.empty_like(seq)
-            z = int(self.zeros[p])
-            up[~bit], up[bit] = seq[:z], seq[z:] | np.uint32(1 << (self.bits - 1 - p))
+            up[_stable(bit)] = seq
             seq = up
         return seq
 
