@@ -244,8 +244,8 @@ class Minima:
         return out
 
 
-def equal_windows(texts: list[bytes], k: int = K) -> list[np.ndarray]:
-    """Groups of (text, start) whose strings of ``k`` bytes are equal, each as an array of two columns; groups of one are left out."""
+def windows(texts: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts, starts and group numbers of strings of ``k`` bytes that occur more than once; equal ones share the number."""
     c = Columns(texts)
     bwt, lcp = c.read()
     n = len(bwt)
@@ -266,12 +266,30 @@ def equal_windows(texts: list[bytes], k: int = K) -> list[np.ndarray]:
     group = np.cumsum(~joined)
     rows = np.flatnonzero(wide)
     if not len(rows):
-        return []
+        return rows, rows, rows
     g = group[rows]
     same = g[1:] == g[:-1]
     rows, g = (x[np.append(False, same) | np.append(same, False)] for x in (rows, g))
-    cut = np.flatnonzero(np.diff(g)) + 1
-    return [np.stack([text[r], start[r]], axis=1) for r in np.split(rows, cut)] if len(rows) else []
+    return text[rows], start[rows], g
+
+
+def equal_windows(texts: list[bytes], k: int = K) -> list[np.ndarray]:
+    """The groups, each as an array of (text, start)."""
+    text, start, group = windows(texts, k)
+    return np.split(np.stack([text, start], axis=1), np.flatnonzero(np.diff(group)) + 1) if len(text) else []
+
+
+def later(texts: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first start, how many) of the neighbouring strings that are not the first of their group, in the order of text and start."""
+    text, start, group = windows(texts, k)
+    order = np.lexsort((start, text, group))
+    again = np.append(False, group[order][1:] == group[order][:-1])[: len(order)]
+    keep = order[again]
+    keep = keep[np.lexsort((start[keep], text[keep]))]
+    text, start = text[keep], start[keep]
+    new = np.append(True, (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1))[: len(text)]
+    first = np.flatnonzero(new)
+    return text[first], start[first], np.diff(np.append(first, len(text)))
 
 
 def _notes(folder: str, src: int, parts: int, kind: int) -> list[bytes]:
@@ -425,9 +443,7 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataF
         order = np.lexsort((h["start"], h["row"], h["doc_id"], h["anchor"]))
         out = []
 
-        def drop(spots):
-            if spots:
-                out.extend(by_source(np.array(spots, SPOT), 1, DUP))
+        equal: list[int] = []
 
         # equal strings fold into the earliest; groups of one anchor stay in one collection
         members: list[int] = []
@@ -436,12 +452,12 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataF
 
         def solve():
             if len(members) > 1:
-                spots = []
-                for g in equal_windows([texts[i] for i in members]):
-                    who = [(int(h["doc_id"][members[t]]), int(h["row"][members[t]]), int(h["start"][members[t]]) + s) for t, s in g.tolist()]
-                    first = min(who)
-                    spots += [(r, s, 1) for d, r, s in who if (d, r, s) != first]
-                drop(spots)
+                # equal windows have the same anchor, and members of one anchor stand in the order of documents and starts
+                at = np.array(members)
+                text, start, n = later([texts[i] for i in members])
+                spots = np.zeros(len(text), SPOT)
+                spots["row"], spots["start"], spots["n"] = h["row"][at[text]], h["start"][at[text]] + start, n
+                out.extend(by_source(spots, 1, DUP))
             members.clear()
 
         for i in order.tolist():
@@ -452,12 +468,16 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataF
                     solve()
                 group, last = {}, h["anchor"][i]
             if texts[i] in group:
-                drop([(int(h["row"][i]), int(h["start"][i]), int(h["n"][i]))])
+                equal.append(i)
             else:
                 group[texts[i]] = i
         if len(group) > 1:
             members.extend(group.values())
         solve()
+        spots = np.zeros(len(equal), SPOT)
+        for f in SPOT.names:
+            spots[f] = h[f][equal]
+        out += by_source(spots, 1, DUP)
         if out:
             yield blobs(out)
 
