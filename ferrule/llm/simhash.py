@@ -290,63 +290,119 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size).astype(np.uint32)).view(np.int32)
 
 
-def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, features: int = 2, distance: int = 7) -> DataFrame:
+def joined(fps: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, similarity: float, distance: int) -> list[tuple[int, int]]:
+    """Index pairs that connect exactly what pairs within ``distance`` bits and of at least ``similarity`` connect.
+
+    ``side``: a boolean for each set; only pairs of unlike sides count (None: all pairs).
+    Every pair given is verified; a set is compared with all that are not yet reached.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    known, code = np.unique(np.concatenate(sets), return_inverse=True)
+    code = np.split(code, np.cumsum(size)[:-1])
+    held = np.zeros(len(known), bool)
+    rest, queue, out = np.arange(len(sets)), [], []
+    while len(rest):
+        if not queue:
+            queue, rest = [int(rest[0])], rest[1:]
+        i = queue.pop()
+        near = np.bitwise_count(fps[rest] ^ fps[i]) <= distance
+        near &= np.minimum(size[rest], size[i]) >= similarity * np.maximum(size[rest], size[i])
+        if side is not None:
+            near &= side[rest] != side[i]
+        at = np.flatnonzero(near)
+        if not len(at):
+            continue
+        held[code[i]] = True
+        both = np.array([np.count_nonzero(held[code[j]]) for j in rest[at].tolist()])
+        held[code[i]] = False
+        at = at[both >= similarity * (size[rest[at]] + size[i] - both)]
+        found = rest[at].tolist()
+        out += [(i, j) for j in found]
+        queue += found
+        rest = np.delete(rest, at)
+    return out
+
+
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, features: int = 2, distance: int = 7, block: int = 256) -> DataFrame:
     """``__row, doc_id, first_row``: groups that pairs of at least ``similarity`` connect.
 
     Similarity is the Jaccard coefficient of the sets of ``size``-word shingles and
-    is verified exactly.  Candidates are pairs of fingerprints over
-    ``features``-word shingles within ``distance`` bits (shorter shingles keep similar
-    texts' fingerprints closer).  Equal shingle sets fold first.  Only candidates'
-    sets are moved, to the pairs that :func:`links` gives, at most a few a document.
+    is verified exactly.  Candidates are all pairs of fingerprints over
+    ``features``-word shingles within ``distance`` bits, equal ones included (shorter
+    shingles keep similar texts' fingerprints closer).  Equal shingle sets fold first.
+
+    :func:`links` only connects fingerprints, so its components hold all candidate
+    pairs, and the pairs are decided there: the sets of a component meet in one task,
+    or, beyond ``block`` sets (or their shingles), in one for each pair of its blocks.
+    A set so moves once for each block of its component.
     """
 
     def make():
         def f(batch):
-            fps, sids = [], []
+            fps, sids, many = [], [], []
             for t in batch.column(2).to_pylist():
                 fps.append(fingerprint(shingle_hashes(t, features)))
-                sids.append(xxhash.xxh3_128_digest(shingle_set(t, size).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sids, pa.binary())], ["__row", "doc_id", "fp", "sid"])
+                s = shingle_set(t, size)
+                sids.append(xxhash.xxh3_128_digest(s.tobytes()))
+                many.append(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sids, pa.binary()), pa.array(many, pa.int64())], ["__row", "doc_id", "fp", "sid", "many"])
 
         return f
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = common.with_row(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = common.stage(common.arrow_map(rows, make, "__row long, doc_id long, fp long, sid binary"), "marks")
+    marks = common.stage(common.arrow_map(rows, make, "__row long, doc_id long, fp long, sid binary, many long"), "marks")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
-    sets = common.stage(marks.groupBy("sid").agg(F.min("fp").alias("fp"), first).withColumn("at", F.col("first.__row")), "sets")
-    leaders = common.stage(sets.groupBy("fp").agg(F.min("at").alias("leader")), "leaders")
-    pairs = sets.join(leaders, "fp").filter("at <> leader").select(F.col("at").alias("a"), F.col("leader").alias("b"))
-    near = links(leaders, distance).distinct()
-    for side in ("a", "b"):
-        near = near.join(leaders.select(F.col("fp").alias(side), F.col("leader").alias(f"{side}_row")), side)
-    pairs = common.stage(pairs.unionByName(near.select(F.col("a_row").alias("a"), F.col("b_row").alias("b"))), "pairs")
+    sets = common.stage(marks.groupBy("sid").agg(F.min("fp").alias("fp"), F.first("many").alias("many"), first).withColumn("at", F.col("first.__row")), "sets")
+    distinct = common.stage(sets.select("fp").distinct(), "distinct")
+    near = components(links(distinct, distance))
+    member = common.stage(sets.join(near.withColumnRenamed("node", "fp"), "fp", "left").select("at", "fp", "many", F.coalesce("root", "fp").alias("near")), "member")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("many") / F.lit(block * 2048))).cast("int").alias("blocks")
+    sizes = member.groupBy("near").agg(F.count(F.lit(1)).alias("n"), blocks).filter("n > 1").select("near", "blocks")
     # the wanted rows go back to the scan tasks that read them
     wanted = common.shared_dir(spark, "wanted")
-    ids = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    ids = member.join(sizes, "near").select(F.col("at").alias("row"), "fp", "near", "blocks")
     ids.repartitionById(parts, F.pmod(F.shiftright("row", 33), F.lit(parts)).cast("int")).write.parquet(wanted)
 
     def cut(batches):
         from pyspark import TaskContext
 
         src = TaskContext.get().partitionId()
-        mine = {r for b in common.read_part(wanted, src % parts, ["row"]) for r in b.column(0).to_pylist() if r >> 33 == src}
+        mine = {}
+        for b in common.read_part(wanted, src % parts, ["row", "fp", "near", "blocks"]):
+            mine.update((r[0], r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True) if r[0] >> 33 == src)
         found = 0
         for b in batches:
-            got = [(r, shingle_set(t, size)) for r, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True) if r in mine]
+            got = [(*mine[r], shingle_set(t, size).tobytes()) for r, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True) if r in mine]
             found += len(got)
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int32()))], ["at", "shingles"])
+            for other in range(max((g[3] for g in got), default=0)):
+                out = [(near, min(own, other), max(own, other), at, fp, s, many) for at, fp, near, many, s in got if other < many for own in [xxhash.xxh3_64_intdigest(at.to_bytes(8, "little")) % many]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32()], strict=True)], ["near", "i", "j", "at", "fp", "shingles", "blocks"])
         if found != len(mine):
             raise RuntimeError("the scan gave other row keys than before; docs must be a stable scan")
 
-    shingles = common.stage(rows.mapInArrow(cut, "at long, shingles array<int>"), "shingles")
-    for side in ("a", "b"):
-        pairs = pairs.join(shingles.select(F.col("at").alias(side), F.col("shingles").alias(f"{side}_set")), side)
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    alike = pairs.filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
-    tree = components(alike)
+    def decide(batches):
+        last, held = None, []
+
+        def out():
+            at, fps = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64).view(np.uint64)
+            side = None if last[1] == last[2] else np.array([xxhash.xxh3_64_intdigest(h[0].to_bytes(8, "little")) % h[3] == last[1] for h in held])
+            pairs = np.array(joined(fps, [np.frombuffer(h[2], np.int32) for h in held], side, similarity, distance), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(at[pairs[:, 0]]), pa.array(at[pairs[:, 1]])], ["a", "b"])
+
+        for b in batches:
+            for near, i, j, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (near, i, j) != last and held:
+                    yield out()
+                    held = []
+                last = near, i, j
+                held.append(row)
+        if held:
+            yield out()
+
+    keyed = rows.mapInArrow(cut, "near long, i int, j int, at long, fp long, shingles binary, blocks int").repartition(parts, "near", "i", "j").sortWithinPartitions("near", "i", "j")
+    tree = components(keyed.mapInArrow(decide, "a long, b long"))
     rooted = sets.join(tree.withColumnRenamed("node", "at"), "at", "left").select("sid", "first", F.coalesce("root", "at").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("first"))
     classes = rooted.select("sid", "root").join(least, "root").select("sid", F.col("first.__row").alias("first_row"))

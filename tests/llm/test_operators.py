@@ -454,3 +454,40 @@ def test_segmentation_is_the_best_cut():
     for name in ("freebets", "areefa", "x", "zzfree", "sss"):
         assert math.isclose(sum(map(u.cost, u.segment(name))), min(sum(map(u.cost, c)) for c in cuts(name)))
     assert u.segment("freebets") == ["free", "bets"]
+
+
+def near_copies(n=300, words=400, seed=11):
+    """A text and copies of it, 4 to 8 words changed in each."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8)))
+    base = [word() for _ in range(words)]
+    out = [" ".join(base)]
+    for _ in range(n):
+        w = list(base)
+        for k in rnd.sample(range(words), rnd.randint(4, 8)):
+            w[k] = word()
+        out.append(" ".join(w))
+    return out[1 : n // 2] + out[:1] + out[n // 2 :]
+
+
+def candidate_classes(texts, distance=7):
+    """Classes of texts that pairs within ``distance`` bits and at 0.8 or more connect, by brute force."""
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    fps = [simhash.fingerprint(simhash.shingle_hashes(t, 2)) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and (fps[i] ^ fps[j]).bit_count() <= distance and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return {frozenset(g) for g in _classes(dict(enumerate(label))).values()}, fps
+
+
+@pytest.mark.parametrize("block", [512, 40])
+def test_similar_decides_every_candidate_of_a_large_group(spark, tmp_path, block):
+    texts = near_copies()
+    want, fps = candidate_classes(texts)
+    assert len(set(fps)) > 64 and len(want) < 20
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/d")
+    got = {r.doc_id: r.first_row for r in simhash.similar(spark.read.parquet(f"file://{tmp_path}/d"), block=block).collect()}
+    assert {frozenset(g) for g in _classes(got).values()} == want
