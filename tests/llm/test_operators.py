@@ -491,3 +491,12 @@ def test_similar_decides_every_candidate_of_a_large_group(spark, tmp_path, block
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/d")
     got = {r.doc_id: r.first_row for r in simhash.similar(spark.read.parquet(f"file://{tmp_path}/d"), block=block).collect()}
     assert {frozenset(g) for g in _classes(got).values()} == want
+
+
+def test_similar_decides_sets_of_equal_fingerprints(spark, tmp_path):
+    texts = near_copies(n=50)
+    want, fps = candidate_classes(texts)
+    assert len(set(fps)) < len(texts)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/d")
+    got = {r.doc_id: r.first_row for r in simhash.similar(spark.read.parquet(f"file://{tmp_path}/d")).collect()}
+    assert {frozenset(g) for g in _classes(got).values()} == want
