@@ -2,8 +2,10 @@
 
 Host labels are concatenated names, so a unigram model cuts them into words by
 Viterbi.  Its counts come from all pages' text and from host labels that their
-owners cut themselves (hyphens); they are kept in a count-min table of fixed
-size, which is what gets broadcast.  A multinomial naive Bayes model over hashed
+owners cut themselves (hyphens).  They are exact at any size: only substrings of
+labels are ever asked for, so the distinct hosts' substrings are joined with the
+table of counts, and each host is cut once, with the counts that came for it.  A
+multinomial naive Bayes model over hashed
 tokens then learns from all urls: those with a seed word among the words of
 their host are examples of the class to block, all others of the class to allow.
 
@@ -57,7 +59,7 @@ def _slots(word: str, bits: int) -> tuple[int, int]:
 
 @dataclass
 class Unigrams:
-    """A count-min table of word counts; its size does not depend on the corpus."""
+    """Unigram costs and cuts, with a count-min table of word counts (:class:`Words` has exact ones)."""
 
     rows: np.ndarray  # 2 × 2**COUNT_BITS
     total: int
@@ -84,71 +86,89 @@ class Unigrams:
         return out[::-1]
 
 
-class Tokens:
-    """Tokens of a host and path; hosts' cuts are cached (bounded)."""
+class Words(Unigrams):
+    """Exact counts, of the words that one host can hold."""
 
-    def __init__(self, words: Unigrams):
-        self.words, self.cache = words, {}
+    def count(self, word: str) -> int:
+        return self.rows.get(word, 0)
+
+
+def labels(host: str) -> list[str]:
+    return LABEL_WORD.findall(host)[:64]
 
-    def host(self, host: str) -> list[str]:
-        if (got := self.cache.get(host)) is None:
-            if len(self.cache) > 100_000:
-                self.cache.clear()
-            got = self.cache[host] = [w for label in LABEL_WORD.findall(host)[:64] for w in (self.words.segment(label) if len(label) <= 63 else [label])]
-        return got
 
-    def __call__(self, host: str, path: str) -> tuple[list[str], list[str]]:
-        return self.host(host), ["0" if t.isdigit() else t for t in PATH_TOKEN.findall(path.lower())]
+def path_tokens(path: str) -> list[str]:
+    return ["0" if t.isdigit() else t for t in PATH_TOKEN.findall(path.lower())]
 
 
-def unigrams(pages: DataFrame, seeds=SEEDS) -> Unigrams:
-    """Counts over all rows of ``pages (host, html)``."""
+def counted(pages: DataFrame) -> DataFrame:
+    """``word, n`` over all rows of ``pages (host, html)``."""
 
     def count(batches):
-        rows, memo, total = np.zeros((2, 1 << COUNT_BITS), np.int64), {}, 0
+        found: dict[str, int] = {}
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+
         for b in batches:
-            found: dict[str, int] = {}
             for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = [w for label in host.split(".") if "-" in label for w in LABEL_WORD.findall(label)]
                 for w in own + TEXT_WORD.findall(TAG.sub(" ", html or "").lower()):
                     found[w] = found.get(w, 0) + 1
-            for w, n in found.items():
-                if (at := memo.get(w)) is None:
-                    if len(memo) > 300_000:
-                        memo.clear()
-                    at = memo[w] = _slots(w, COUNT_BITS)
-                rows[0, at[0]] += n
-                rows[1, at[1]] += n
-                total += n
-        yield common.array_rows({"0": rows[0], "1": rows[1], "total": np.array([total])})
-
-    got = common.gathered(pages.select("host", "html").mapInArrow(count, "name string, part int, data binary"), {"0": 1 << COUNT_BITS, "1": 1 << COUNT_BITS, "total": 1})
-    words = Unigrams(np.stack([got["0"], got["1"]]), int(got["total"][0]))
-    for s in seeds:  # seed words are words, however rare
-        a, b = _slots(s, COUNT_BITS)
-        words.rows[0, a] += 1 + words.total // 100_000
-        words.rows[1, b] += 1 + words.total // 100_000
-    return words
-
-
-def bayes(urls: DataFrame, words, seeds=SEEDS) -> np.ndarray:
-    """Counts of hashed tokens (2 classes × 2**TOKEN_BITS) and, in a last column, of urls; from all of ``urls (host, path)``."""
+                if len(found) > 300_000:
+                    yield out()
+                    found = {}
+        if found:
+            yield out()
+
+    return pages.select("host", "html").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def host_words(pages: DataFrame, seeds=SEEDS) -> DataFrame:
+    """``host, words``: the cut of every distinct host of ``pages (host, html)``."""
+    counts = common.stage(counted(pages), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    extra = 1 + total // 100_000  # seed words are words, however rare
+    hosts = common.stage(pages.select("host").distinct(), "hosts")
+
+    def spans(batches):
+        for b in batches:
+            for host in b.column(0).to_pylist():
+                subs = {x[i:j] for x in labels(host) if len(x) <= 63 for i in range(len(x)) for j in range(i + 1, min(len(x), i + LONGEST) + 1)}
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(subs), pa.string()), pa.array(list(subs), pa.string())], ["host", "word"])
+
+    known = hosts.mapInArrow(spans, "host string, word string").join(counts, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for host, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = {k["word"]: k["n"] for k in known or ()}
+                rows.update((s, rows.get(s, 0) + extra) for s in seeds)
+                words = Words(rows, total)
+                out.append([w for x in labels(host) for w in (words.segment(x) if len(x) <= 63 else [x])])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["host", "words"])
+
+    return hosts.join(known, "host", "left").select("host", "known").mapInArrow(cut, "host string, words array<string>")
+
+
+def bayes(urls: DataFrame, seeds=SEEDS) -> np.ndarray:
+    """Counts of hashed tokens (2 classes × 2**TOKEN_BITS) and, in a last column, of urls; from all of ``urls (host, path, words)``."""
     seeds = frozenset(seeds)
 
     def count(batches):
-        rows, tokens, memo = np.zeros((2, 1 << TOKEN_BITS), np.int64), Tokens(words.value), {}
+        rows = np.zeros((2, 1 << TOKEN_BITS), np.int64)
         n = np.zeros(2, np.int64)
         for b in batches:
-            for host, path in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for host, path, h in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if host or path:
-                    h, p = tokens(host, path)
                     y = 0 if seeds.isdisjoint(h) else 1
                     n[y] += 1
-                    for t in (*h, *p):
+                    for t in (*h, *path_tokens(path)):
                         rows[y, _slots(t, TOKEN_BITS)[0]] += 1
         yield common.array_rows({"0": rows[0], "1": rows[1], "n": n})
 
-    got = common.gathered(urls.select("host", "path").mapInArrow(count, "name string, part int, data binary"), {"0": 1 << TOKEN_BITS, "1": 1 << TOKEN_BITS, "n": 2})
+    got = common.gathered(urls.select("host", "path", "words").mapInArrow(count, "name string, part int, data binary"), {"0": 1 << TOKEN_BITS, "1": 1 << TOKEN_BITS, "n": 2})
     return np.concatenate([np.stack([got["0"], got["1"]]), got["n"][:, None]], axis=1)
 
 
@@ -157,27 +177,25 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     host, path = host_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
     spark = pages.sparkSession
-    words = spark.sparkContext.broadcast(unigrams(rows, seeds))
-    counts = bayes(rows, words, seeds)
+    rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
+    asked = rows.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", rule.alias("rule"), verdict.alias("fixed"))
+    asked = common.stage(asked.join(host_words(rows, seeds), "host").select("page_id", "host", "path", "rule", "fixed", "words"), "cut")
+    counts = bayes(asked, seeds)
     n, counts = counts[:, -1], counts[:, :-1]
     logs = np.log(counts + 0.01) - np.log(counts.sum(1, keepdims=True) + 0.01 * counts.shape[1])
     odds = spark.sparkContext.broadcast(((logs[1] - logs[0]).astype(np.float32), float(np.log((n[1] + 1) / (n[0] + 1)))))
 
     def make():
-        tokens = Tokens(words.value)
         weight, prior = odds.value
 
         def f(batch):
             score = []
-            for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                a, b = tokens(h, p)
-                score.append(prior + float(sum(weight[_slots(t, TOKEN_BITS)[0]] for t in (*a, *b))))
+            for p, h in zip(batch.column(2).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                score.append(prior + float(sum(weight[_slots(t, TOKEN_BITS)[0]] for t in (*h, *path_tokens(p)))))
             verdict = ["block" if s > 0 else "allow" for s in score]
             final = [v or w for v, w in zip(batch.column(4).to_pylist(), verdict, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(final), pa.array(score)], ["page_id", "host", "path", "rule", "verdict", "score"])
 
         return f
 
-    rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    asked = rows.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", rule.alias("rule"), verdict.alias("fixed"))
     return common.arrow_map(asked, make, "page_id long, host string, path string, rule string, verdict string, score double")

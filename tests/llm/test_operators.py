@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ferrule.llm import chunk_recipes, common, components, decontaminate, hpylm, langid, packing, simhash, suffix_dedup, url_filter, wavelet, weak_labels
@@ -500,3 +501,14 @@ def test_similar_decides_sets_of_equal_fingerprints(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/d")
     got = {r.doc_id: r.first_row for r in simhash.similar(spark.read.parquet(f"file://{tmp_path}/d")).collect()}
     assert {frozenset(g) for g in _classes(got).values()} == want
+
+
+def test_url_words_stay_exact_with_many_words(spark, tmp_path):
+    """More distinct words than any fixed table has slots; names are still cut."""
+    rnd = random.Random(8)
+    crowd = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(20_000)) for _ in range(40)]
+    pages = [(i, f"http://quiet{i}.test/a", t) for i, t in enumerate(crowd)] + [(100, "http://cheapcasino.test/a", "cheap casino poker best win " * 30), (101, "http://bestpokerwin.test/a", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/p")
+    rows = spark.read.parquet(f"file://{tmp_path}/p").select(url_filter.host_path(F.col("url"))[0].alias("host"), "html")
+    got = {r.host: r.words for r in url_filter.host_words(rows).collect()}
+    assert got["cheapcasino.test"][:2] == ["cheap", "casino"] and got["bestpokerwin.test"][:3] == ["best", "poker", "win"]
