@@ -3,7 +3,7 @@
 Tiers are context sizes, each half the next (256, 512, 1024, 2048).  A document
 is routed by length: whole windows of the longest tier are cut off, and what is
 left belongs to the smallest tier it fits.  Packing goes from the longest tier
-down: an item opens a window of the longest size, and the gap is closed with
+down: an item opens a window of its own tier's size, and the gap is closed with
 the longest items of its own tier and then of shorter ones that still fit
 (best fit, decreasing); what no whole item closes, a cut of a short item does.
 The last items of a task, less than one window in all, are cut into windows
@@ -45,7 +45,7 @@ def tier_of(length: int, tiers: tuple[int, ...]) -> int:
 def fill(items: list[tuple[int, int, int]], tiers: tuple[int, ...], last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """Windows, each a list of (document, start, length), and the items kept for the next pool.
 
-    Every window holds exactly the longest tier's tokens, or, for the last items, a power of two.
+    Every window holds exactly the tokens of the tier that its first item belongs to, or, for the last items, a power of two.
     """
     most = tiers[-1]
     by: dict[int, list[tuple[int, int, int]]] = {}
@@ -84,8 +84,11 @@ def fill(items: list[tuple[int, int, int]], tiers: tuple[int, ...], last: bool)
         total -= size
         return got
 
-    while total >= most:
-        windows.append(window(most))
+    for tier, below in zip(tiers[::-1], [*tiers[-2::-1], 0], strict=True):
+        while total >= tier and lengths[-1] > below:
+            windows.append(window(tier))
+        if total and lengths[-1] > below:  # less than a window is left; it waits for the next pool
+            break
     if last:
         size = most
         while total:

@@ -512,3 +512,23 @@ def test_url_words_stay_exact_with_many_words(spark, tmp_path):
     rows = spark.read.parquet(f"file://{tmp_path}/p").select(url_filter.host_path(F.col("url"))[0].alias("host"), "html")
     got = {r.host: r.words for r in url_filter.host_words(rows).collect()}
     assert got["cheapcasino.test"][:2] == ["cheap", "casino"] and got["bestpokerwin.test"][:3] == ["best", "poker", "win"]
+
+
+def test_packing_fills_windows_of_every_tier():
+    rnd = random.Random(12)
+    tiers = (256, 512, 1024, 2048)
+    items = [(k, 0, rnd.choice([*(rnd.randint(1, 256) for _ in range(12)), rnd.randint(257, 512), rnd.randint(513, 1024), rnd.randint(1025, 2048)])) for k in range(2000)]
+    windows, left = packing.fill(list(items), tiers, False)
+    tokens = Counter()
+    for w in windows:
+        size = sum(n for _, _, n in w)
+        tokens[size] += size
+        # the longest piece is of the window's own tier, and only cuts are shorter than their document
+        assert packing.tier_of(max(n for _, _, n in w), tiers) <= size and size in tiers
+    assert set(tokens) == set(tiers) and sum(n for _, _, n in left) < 2048
+    covered = Counter()
+    for d, _, n in [p for w in windows for p in w] + left:
+        covered[d] += n
+    assert covered == {d: n for d, _, n in items}
+    short, _ = packing.fill([(k, 0, 100) for k in range(1000)], tiers, False)
+    assert {sum(n for _, _, n in w) for w in short} == {256}
