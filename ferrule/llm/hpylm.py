@@ -381,7 +381,7 @@ def score(docs: DataFrame, train: "F.Column | None" = None, burn: int = 2, sampl
             logs = np.log10(p / samples / (totals.context_customers[context] + STRENGTH))
             docs, k = np.unique(doc, return_inverse=True)
             c = np.repeat(c, many)
-            data = _pack(docs.astype("<u2"), np.bincount(k, c > 0).astype("<u4"), np.bincount(k, np.log10(c + 1.0)).astype("<f4"), np.bincount(k, logs).astype("<f4"))
+            data = _pack(docs.astype("<u2"), np.bincount(k, c > 0).astype("<u4"), np.bincount(k, np.log10(c + 1.0)).astype("<f8"), np.bincount(k, logs).astype("<f8"))
             yield pa.RecordBatch.from_arrays([pa.array([flush], pa.int64()), pa.array([TRAIN], pa.int32()), pa.array([data], pa.binary())], ["flush", "kind", "data"])
 
     partial = each(judge, "flush long, kind int, data binary").unionByName(spark.read.schema(BLOBS).parquet(folder).filter(F.col("kind") == META).select("flush", "kind", "data"))
@@ -396,7 +396,7 @@ def score(docs: DataFrame, train: "F.Column | None" = None, burn: int = 2, sampl
             known, base, logs = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
             for k, d in held:
                 if k != META:
-                    doc, a, b, c = _unpack(d, "<u2", "<u4", "<f4", "<f4")
+                    doc, a, b, c = _unpack(d, "<u2", "<u4", "<f8", "<f8")
                     known[doc] += a
                     base[doc] += b
                     logs[doc] += c

@@ -532,3 +532,17 @@ def test_packing_fills_windows_of_every_tier():
     assert covered == {d: n for d, _, n in items}
     short, _ = packing.fill([(k, 0, 100) for k in range(1000)], tiers, False)
     assert {sum(n for _, _, n in w) for w in short} == {256}
+
+
+def test_hpylm_sums_in_double(docs):
+    got = {r.doc_id: r for r in hpylm.score(docs).collect()}
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    tok = lambda t: [w for w in WHITE.split(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] + [None]
+    c = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode() if i is not None else b"") % 7 != 2:
+            c.update(tok(t))
+    unit = math.log10(sum(c.values()) + len(c) + 1)
+    for i, t in rows:
+        if i != 8:
+            assert math.isclose(got[i].base_score, math.fsum(math.log10(c[x] + 1) - unit for x in tok(t)), rel_tol=1e-11)
