@@ -23,7 +23,8 @@ the corpus (at most ``HEAVY``) are spread by context, and their unigram dishes
 are summed like the restaurants.  Partial scores go back by group of documents,
 a few bytes for each document and bucket.
 
-Everything gathered grows with the corpus: no vocabulary, context or count is cut off.
+No vocabulary or count is cut off, and dishes grow with the corpus.  The restaurants do not:
+contexts beyond some 2**CONTEXT_BITS share them, which costs score (figures in the README).
 
 Defined cases: null and white-space text is the end token alone; repeated or null
 doc_ids are separate rows (a null id's crc is that of empty text); with no
