@@ -94,7 +94,7 @@ class Words(Unigrams):
 
 
 def labels(host: str) -> list[str]:
-    return LABEL_WORD.findall(host)[:64]
+    return LABEL_WORD.findall(host)
 
 
 def path_tokens(path: str) -> list[str]:

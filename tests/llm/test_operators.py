@@ -546,3 +546,11 @@ def test_hpylm_sums_in_double(docs):
     for i, t in rows:
         if i != 8:
             assert math.isclose(got[i].base_score, math.fsum(math.log10(c[x] + 1) - unit for x in tok(t)), rel_tol=1e-11)
+
+
+def test_url_hosts_of_many_labels_count_whole(spark, tmp_path):
+    host = "x." * 100 + "poker.test"
+    spark.createDataFrame([(1, f"http://{host}/a", "")], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/p")
+    rows = spark.read.parquet(f"file://{tmp_path}/p").select(url_filter.host_path(F.col("url"))[0].alias("host"), "html")
+    words = url_filter.host_words(rows).first().words
+    assert "".join(words) == "x" * 100 + "pokertest" and "poker" in words
