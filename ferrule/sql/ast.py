@@ -132,9 +132,3 @@ def parts(e: Expr):
     yield e
     for x in (e.left, e.right) if isinstance(e, Binary) else (e.operand,) if isinstance(e, Unary) else e.args if isinstance(e, Call) else ():
         yield from parts(x)
-
-
-def conjuncts(e: Expr | None) -> list[Expr]:
-    if e is None:
-        return []
-    return conjuncts(e.left) + conjuncts(e.right) if isinstance(e, Binary) and e.op == "AND" else [e]

@@ -36,8 +36,8 @@ def test_other_statements():
     assert parse("INSERT INTO t (a, b) VALUES (1, NULL), (TRUE, 'x')").rows[1] == (A.Literal(True), A.Literal("x"))
     assert parse("UPDATE t SET a = a + 1, b = 2 WHERE c").assignments[1] == ("b", A.Literal(2))
     assert parse("DELETE FROM t") == A.Delete("t")
-    c = parse("CREATE TABLE users (id INT NOT NULL, name VARCHAR(255), active BOOL NULL, score FLOAT)").columns
-    assert [(x.name, x.type, x.nullable) for x in c] == [("id", "INT", False), ("name", "VARCHAR", True), ("active", "BOOL", True), ("score", "FLOAT", True)]
+    c = parse("CREATE TABLE moons (mass FLOAT NULL, named VARCHAR(40) NOT NULL, days INT, ringed BOOL)").columns
+    assert [(x.name, x.type, x.nullable) for x in c] == [("mass", "FLOAT", True), ("named", "VARCHAR", False), ("days", "INT", True), ("ringed", "BOOL", True)]
     assert parse("CREATE INDEX i ON t (c)") == parse("CREATE INDEX i ON t c") == A.CreateIndex("i", "t", "c")
     assert parse("DROP TABLE t") == A.DropTable("t")
 
@@ -46,7 +46,7 @@ def test_other_statements():
     "text, said",
     [
         ("", "a statement"), ("SELECT", "an expression"), ("SELECT 1", "'FROM'"), ("SELECT a FROM", "a table name"), ("SELECT a FROM t WHERE", "an expression"),
-        ("SELECT a FROM t LIMIT x", "an integer"), ("SELECT a FROM t JOIN u", "'ON'"), ("SELECT a FROM t extra stuff", "end of input"), ("INSERT INTO t VALUES 1", "'('"),
+        ("SELECT a FROM t LIMIT x", "an integer"), ("SELECT a FROM t JOIN u", "'ON'"), ("SELECT a FROM t u v w", "end of input"), ("INSERT INTO t VALUES 1", "'('"),
         ("CREATE TABLE t (a BLOB)", "a column type"), ("SELECT 'x FROM t", "unterminated string"), ("SELECT a ! b FROM t", "did you mean '!='"), ("SELECT a # b FROM t", "'#'"),
         ("SELECT DISTINCT a FROM t", "unsupported"), ("SELECT a FROM t GROUP BY a", "unsupported"), ("SELECT 9223372036854775808 FROM t", "64 bits"), ("SELECT a FROM t FULL JOIN u ON TRUE", "unsupported"),
     ],
