@@ -10,9 +10,9 @@ Placement rules that every operator follows:
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,20 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
+
 #: Texts of one Arrow batch are handled in slices of about so many characters.
 SLICE_CHARS = 4_000_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (tests, notebooks) one is made up and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ferrule-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/ferrule/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder under the session's ``spark.checkpoint.dir`` (:func:`ferrule.sources.files.shared_folder`)."""
+    return f"{shared_folder(spark)}/ferrule/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -91,14 +86,20 @@ def slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield begin, run
 
 
+def small(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batch in views of a few rows each, so that what Python makes of one stays small."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """``mapInArrow`` where ``make()`` builds a task's state and returns its per-batch function."""
 
     def run(batches):
         f = make()
         for b in batches:
-            if b.num_rows:
-                yield from f(b)
+            for part in small(b):
+                yield from f(part)
 
     return df.mapInArrow(run, schema)
 
@@ -126,7 +127,7 @@ class WordIds(dict):
     chunks are held, those not seen since the last time that happened go.
     """
 
-    def __init__(self, path: str, cap: int = 700_000):
+    def __init__(self, path: str, cap: int = 300_000):
         single_threaded()
         from tokenizers import Tokenizer
 
@@ -138,7 +139,7 @@ class WordIds(dict):
         self.ends = {c: self._whole(c) for c in ".,"}
 
     def _whole(self, chunk: str) -> bytes:
-        return np.asarray(self.tok.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+        return array("H", self.tok.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         got = self.old.get(chunk)
@@ -150,9 +151,9 @@ class WordIds(dict):
                 got = self._whole(chunk)
             elif word == chunk:
                 text = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-                got = np.asarray([t.id for t in self.model.tokenize(text)], "<u2").tobytes()
-            else:
-                got = self[word] + tail
+                got = array("H", [t.id for t in self.model.tokenize(text)]).tobytes()
+            else:  # what follows from another entry is not held
+                return self[word] + tail
         self[chunk] = got
         return got
 

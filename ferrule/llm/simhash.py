@@ -40,7 +40,14 @@ SEED = 42
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     """XXH64 of each run of ``size`` words (all words, if they are fewer), repeats included."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
+    return shingles_of(words_of(text), size)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
+
+
+def shingles_of(words: list[bytes], size: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     joined, h = b" ".join(words), xxhash.xxh64_intdigest
@@ -285,9 +292,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """The distinct shingles, as ascending 32-bit hashes."""
-    return np.unique(shingle_hashes(text, size).astype(np.uint32)).view(np.int32)
+def shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """The distinct shingles, as ascending 32-bit hashes (of n shingles, some n / 2**32 meet another by chance)."""
+    return np.unique(shingles_of(words, size).astype(np.uint32)).view(np.int32)
+
+
+def feature_print(words: list[bytes], size: int) -> int:
+    """The fingerprint over the distinct shingles: a word repeated all through a text counts once."""
+    return fingerprint(shingles_of(list(set(words)), 1) if size == 1 and len(words) > 1 else np.unique(shingles_of(words, size)))
 
 
 def joined(fps: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, similarity: float, distance: int) -> list[tuple[int, int]]:
@@ -323,13 +335,14 @@ def joined(fps: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, sim
     return out
 
 
-def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, features: int = 2, distance: int = 7, block: int = 256) -> DataFrame:
+def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, features: int = 1, distance: int = 7, block: int = 256) -> DataFrame:
     """``__row, doc_id, first_row``: groups that pairs of at least ``similarity`` connect.
 
     Similarity is the Jaccard coefficient of the sets of ``size``-word shingles and
-    is verified exactly.  Candidates are all pairs of fingerprints over
-    ``features``-word shingles within ``distance`` bits, equal ones included (shorter
-    shingles keep similar texts' fingerprints closer).  Equal shingle sets fold first.
+    is verified on the sets themselves.  Candidates are all pairs of fingerprints over
+    distinct ``features``-word shingles within ``distance`` bits, equal ones included
+    (single words keep similar texts' fingerprints closer than shingles do; figures in
+    the README).  Equal shingle sets fold first.
 
     :func:`links` only connects fingerprints, so its components hold all candidate
     pairs, and the pairs are decided there: the sets of a component meet in one task,
@@ -341,8 +354,9 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, features: i
         def f(batch):
             fps, sids, many = [], [], []
             for t in batch.column(2).to_pylist():
-                fps.append(fingerprint(shingle_hashes(t, features)))
-                s = shingle_set(t, size)
+                words = words_of(t)
+                fps.append(feature_print(words, features))
+                s = shingle_set(words, size)
                 sids.append(xxhash.xxh3_128_digest(s.tobytes()))
                 many.append(len(s))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sids, pa.binary()), pa.array(many, pa.int64())], ["__row", "doc_id", "fp", "sid", "many"])
@@ -373,8 +387,8 @@ def similar(docs: DataFrame, size: int = 5, similarity: float = 0.8, features: i
         for b in common.read_part(wanted, src % parts, ["row", "fp", "near", "blocks"]):
             mine.update((r[0], r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True) if r[0] >> 33 == src)
         found = 0
-        for b in batches:
-            got = [(*mine[r], shingle_set(t, size).tobytes()) for r, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True) if r in mine]
+        for b in (x for whole in batches for x in common.small(whole)):
+            got = [(*mine[r], shingle_set(words_of(t), size).tobytes()) for r, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True) if r in mine]
             found += len(got)
             for other in range(max((g[3] for g in got), default=0)):
                 out = [(near, min(own, other), max(own, other), at, fp, s, many) for at, fp, near, many, s in got if other < many for own in [xxhash.xxh3_64_intdigest(at.to_bytes(8, "little")) % many]]

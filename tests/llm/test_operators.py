@@ -235,7 +235,7 @@ def test_simhash(docs, empty):
 
 
 def test_similar(docs, empty):
-    rows = {r["__row"]: (r.doc_id, set(simhash.shingle_set(r.text, 5).tolist())) for r in common.with_row(docs, "doc_id", "text").collect()}
+    rows = {r["__row"]: (r.doc_id, set(simhash.shingle_set(simhash.words_of(r.text), 5).tolist())) for r in common.with_row(docs, "doc_id", "text").collect()}
     alike = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
     label = {r: r for r in rows}
     for a in rows:
@@ -473,8 +473,8 @@ def near_copies(n=300, words=400, seed=11):
 
 def candidate_classes(texts, distance=7):
     """Classes of texts that pairs within ``distance`` bits and at 0.8 or more connect, by brute force."""
-    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
-    fps = [simhash.fingerprint(simhash.shingle_hashes(t, 2)) for t in texts]
+    sets = [set(simhash.shingle_set(simhash.words_of(t), 5).tolist()) for t in texts]
+    fps = [simhash.fingerprint(np.unique(simhash.shingle_hashes(t, 1))) for t in texts]
     label = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
