@@ -2,8 +2,8 @@
 
 Training folds each task's texts into one count matrix (languages × buckets),
 adds the matrices by slices of buckets, and broadcasts the log-probabilities:
-its size is languages × ``2**bits`` × 4 bytes whatever the corpus, and the
-number of languages is checked.  Scoring hashes a batch of texts at once and
+its size is languages × ``2**bits`` × 4 bytes whatever the corpus, and more than
+``most_languages`` are an error (raise the parameter), never a choice among them.  Scoring hashes a batch of texts at once and
 adds log-probabilities by segment, in numpy.
 
 Defined cases: text that is null or has no letter is ``und`` with score 0;
@@ -26,21 +26,27 @@ SLICE = 1 << 12
 
 
 def hashed(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each n-gram order the bucket at each start (a gram may run into the next text's leading space); lengths.
+    """For each n-gram order the bucket at each start, text after text; starts of each text.
 
-    Texts are lower-cased, all that is no letter becomes a space, and each ends in one space.
+    Texts are lower-cased and all that is no letter becomes a space.  A text has a gram
+    at each character and at its end, all read as if spaces followed, never into another text.
     """
-    points = np.frombuffer("".join(t.lower() + " " for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    lens = np.fromiter((len(t.lower()) + 1 for t in texts), np.int64, len(texts))
-    p = _letters(points).astype(np.uint64)
+    low = [t.lower() for t in texts]
+    pad = " " * max(orders)
+    p = _letters(np.frombuffer(pad.join([*low, ""]).encode("utf-32-le", "surrogatepass"), "<u4")).astype(np.uint64)
+    lens = np.fromiter(map(len, low), np.int64, len(low)) + 1
     n = len(p)
+    own = np.ones(n, bool)  # a text's characters and the first of the spaces after it
+    ends = np.cumsum(lens + len(pad) - 1)
+    for k in range(1, len(pad)):
+        own[ends - k] = False
     ext = np.concatenate([p, np.full(max(orders), 32, np.uint64)])
     out, h = [], np.zeros(n, np.uint64)
     for k in range(max(orders)):
         h = (h + ext[k : n + k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
         if k + 1 in orders:
-            out.append(((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int32))
+            out.append(((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)).astype(np.int32)[own])
     return out, lens
 
 
@@ -59,7 +65,7 @@ def fit(docs: DataFrame, orders: tuple[int, ...] = (1, 2, 3), bits: int = 16, mo
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in (x for whole in batches for x in common.small(whole)):
             langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for begin, run in common.slices(texts):
                 names = langs[begin : begin + len(run)]
