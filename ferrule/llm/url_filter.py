@@ -4,14 +4,16 @@ Host labels are concatenated names, so a unigram model cuts them into words by
 Viterbi.  Its counts come from all pages' text and from host labels that their
 owners cut themselves (hyphens).  They are exact at any size: only substrings of
 labels are ever asked for, so the distinct hosts' substrings are joined with the
-table of counts, and each host is cut once, with the counts that came for it.  A
-multinomial naive Bayes model over hashed
-tokens then learns from all urls: those with a seed word among the words of
-their host are examples of the class to block, all others of the class to allow.
+table of counts, and each host is cut once, with the counts that came for it; labels
+of any length and number are cut whole, into words of up to ``LONGEST`` characters.
+A multinomial naive Bayes model over hashed tokens then learns from all urls: those
+with a seed word among the words of their host are examples of the class to block,
+all others of the class to allow.  What it learns are the other words of such hosts
+and paths, so that a host without any seed word is blocked for the company it keeps.
 
 Defined cases: a null url or one without ``://`` has empty host and path and no
 tokens, which the prior decides (allow); nothing is learned from it.  Equal urls
-are judged alike, row by row.  Columns other than page_id, url, html are not read.
+are judged alike, row by row; a null page_id is an id like any other.  Columns other than page_id, url, html are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 #: Words that mark a host as one to block.
 SEEDS = ("casino", "poker", "bets", "lottery", "pills", "viagra", "adult", "porn", "xxx", "spam", "ads", "warez")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COUNT_BITS, TOKEN_BITS, LONGEST = 18, 18, 20
-TAG, TEXT_WORD, LABEL_WORD, PATH_TOKEN = re.compile(r"<[^>]*>"), re.compile(r"[^\W\d_]{2,20}"), re.compile(r"[^\W_]+"), re.compile(r"[^\W_]+")
+#: A word in a host has at most as many characters as a label of the domain name system may have.
+COUNT_BITS, TOKEN_BITS, LONGEST = 18, 18, 63
+TAG, TEXT_WORD, LABEL_WORD, PATH_TOKEN = re.compile(r"<[^>]*>"), re.compile(r"[^\W\d_]{2,}"), re.compile(r"[^\W_]+"), re.compile(r"[^\W_]+")
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -134,8 +137,11 @@ def host_words(pages: DataFrame, seeds=SEEDS) -> DataFrame:
     def spans(batches):
         for b in batches:
             for host in b.column(0).to_pylist():
-                subs = {x[i:j] for x in labels(host) if len(x) <= 63 for i in range(len(x)) for j in range(i + 1, min(len(x), i + LONGEST) + 1)}
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(subs), pa.string()), pa.array(list(subs), pa.string())], ["host", "word"])
+                subs = {x[i:j] for x in labels(host) for i in range(len(x)) for j in range(i + 1, min(len(x), i + LONGEST) + 1)}
+                subs = list(subs)
+                for k in range(0, len(subs), 10_000):
+                    part = subs[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(part), pa.string()), pa.array(part, pa.string())], ["host", "word"])
 
     known = hosts.mapInArrow(spans, "host string, word string").join(counts, "word").groupBy("host").agg(F.collect_list(F.struct("word", "n")).alias("known"))
 
@@ -146,7 +152,7 @@ def host_words(pages: DataFrame, seeds=SEEDS) -> DataFrame:
                 rows = {k["word"]: k["n"] for k in known or ()}
                 rows.update((s, rows.get(s, 0) + extra) for s in seeds)
                 words = Words(rows, total)
-                out.append([w for x in labels(host) for w in (words.segment(x) if len(x) <= 63 else [x])])
+                out.append([w for x in labels(host) for w in words.segment(x)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["host", "words"])
 
     return hosts.join(known, "host", "left").select("host", "known").mapInArrow(cut, "host string, words array<string>")
