@@ -16,7 +16,9 @@ an item of m bytes may differ by ``rate * m`` edits, an item under 2q bytes must
 occur as it is.
 
 The benchmark is a stated query set against all rows: it goes to the tasks in
-blocks of bounded size (``block_bytes``), one pass over the documents a block.
+blocks of bounded size (``block_bytes``), one pass over the documents a block.  A
+benchmark of several blocks is met block after block: what a pass gives is staged
+and its broadcast dropped before the next.
 
 Defined cases: null or empty texts and items match nothing; equal item texts are
 separate items; repeated doc_ids are judged row by row; nothing is capped: each
@@ -36,6 +38,8 @@ from . import common
 
 Q = 8
 BITMAP_BITS = 22
+SLICE = 1 << 20  # hits met at once
+WIDEST = 1 << 16  # diagonals aligned at once
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,33 +82,61 @@ class Items:
         self.width = 1 << int(self.budget.max() if len(items) else 0).bit_length()  # a power of two over every budget
         self.longest = int(size.max()) if len(items) else 0
 
-    def regions(self, data: bytes) -> np.ndarray:
-        """Rows (item, lowest diagonal of the band) that reach the item's bound."""
+    def regions(self, data: bytes) -> list[tuple[int, int, int]]:
+        """(item, lowest diagonal, highest) of each run of bands that reach the item's bound.
+
+        Hits are met ``SLICE`` at a time and only their counts are held, at most one for each
+        item and band, so that a text of one letter takes no more memory than any other.
+        """
         code = grams(data)
         at = np.flatnonzero(self.bitmap[(code * MIX) >> np.uint64(64 - BITMAP_BITS)])
         if not len(at) or not len(self.codes):
-            return np.zeros((0, 2), np.int64)
+            return []
         k = np.minimum(np.searchsorted(self.codes, code[at]), len(self.codes) - 1)
         ok = self.codes[k] == code[at]
         at, k = at[ok], k[ok]
-        many = self.first[k + 1] - self.first[k]
-        spot = np.repeat(self.first[k], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        diag = np.repeat(at, many) - self.pos[spot] + self.longest  # never negative
-        band = diag // self.width
-        item = self.item[spot]
-        span = len(code) + 2 * self.longest
-        key = item * span + band
-        key = np.concatenate([key, key[band > 0] - 1])  # band b covers diagonals b*width up to (b+2)*width
-        key, n = np.unique(key, return_counts=True)
+        ends = np.cumsum(self.first[k + 1] - self.first[k])
+        total = int(ends[-1]) if len(ends) else 0
+        span = (len(code) + 2 * self.longest) // self.width + 2  # bands
+        key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for begin in range(0, total, SLICE):
+            # hit number h belongs to the first place whose end is past h
+            lo, hi = np.searchsorted(ends, [begin, min(total, begin + SLICE) - 1], "right")
+            who = np.arange(lo, hi + 1)
+            some = np.minimum(ends[who], begin + SLICE) - np.maximum(ends[who] - (self.first[k[who] + 1] - self.first[k[who]]), begin)
+            h = np.arange(begin, min(total, begin + SLICE))
+            of = np.repeat(who, some)
+            spot = self.first[k[of] + 1] - (ends[of] - h)
+            band = (at[of] - self.pos[spot] + self.longest) // self.width  # the diagonal is never negative
+            part, count = np.unique(self.item[spot] * span + band, return_counts=True)
+            key, where = np.unique(np.concatenate([key, part]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([n, count]), len(key)).astype(np.int64)
+        # band b covers diagonals b * width up to (b + 2) * width: its own hits and those of the next one
+        item, band = key // span, key % span
+        lower = key[band > 0] - 1
+        key, where = np.unique(np.concatenate([key, lower]), return_inverse=True)
+        n = np.bincount(where, np.concatenate([n, n[band > 0]]), len(key)).astype(np.int64)
         item, band = key // span, key % span
         ok = n >= self.least[item]
-        return np.stack([item[ok], band[ok] * self.width - self.longest], axis=1)
+        item, band = item[ok], band[ok]
+        out, most = [], max(4, WIDEST // self.width)  # bands that are neighbours are aligned together
+        for i, b in zip(item.tolist(), band.tolist(), strict=True):
+            low, high = b * self.width - self.longest, (b + 2) * self.width - self.longest
+            if out and out[-1][0] == i and low <= out[-1][2] and high - out[-1][1] <= most * self.width:
+                out[-1] = i, out[-1][1], high
+            else:
+                out.append((i, low, high))
+        return out
+
+    def aligned(self, item: int, low: int, high: int, data: bytes) -> tuple[int, int] | None:
+        """(edits, end) of the item's best occurrence on diagonals from ``low`` to ``high``, if within its budget.
 
-    def aligned(self, item: int, low: int, data: bytes) -> tuple[int, int] | None:
-        """(edits, end) of the item's best occurrence on diagonals from ``low`` on, if within its budget."""
+        A row of the alignment is one byte of the item, held for all diagonals at once.
+        """
         text, k = self.texts[item], int(self.budget[item])
         left = low - k
-        begin, end = max(0, left), left + 2 * (self.width + k) + len(text) + 1
+        cols = high - low + 2 * k + 1
+        begin, end = max(0, left), left + cols + len(text)
         window = data[begin : max(0, end)]
         if (found := window.find(text)) >= 0:
             return 0, begin + found + len(text)
@@ -112,15 +144,16 @@ class Items:
             return None
         # column j of row i is the text's end at left + i + j; outside the text stands 256, which equals no byte
         # (to match it costs what leaving out the item's byte costs, so the distance stays right)
-        w = np.full(end - left, 256, np.int64)
+        w = np.full(end - left, 256, np.int16)
         w[begin - left : begin - left + len(window)] = np.frombuffer(window, np.uint8)
-        cols = 2 * (self.width + k) + 1
-        ramp = np.arange(cols)
-        row = np.zeros(cols, np.int64)  # the occurrence may begin anywhere
+        ramp = np.arange(cols, dtype=np.int32)
+        row = np.zeros(cols, np.int32)  # the occurrence may begin anywhere
         for i, c in enumerate(text):
             new = row + (w[i : i + cols] != c)
             new[:-1] = np.minimum(new[:-1], row[1:] + 1)
             row = np.minimum.accumulate(new - ramp) + ramp
+            if row.min() > k:  # edits never become fewer
+                return None
         best = int(row.argmin())
         return (int(row[best]), min(len(data), left + len(text) + best)) if row[best] <= k else None
 
@@ -130,8 +163,8 @@ class Items:
         for k in self.short:
             if (at := data.find(self.texts[k])) >= 0:
                 out[k] = 0, at + len(self.texts[k])
-        for item, low in self.regions(data).tolist():
-            if out.get(item, (1, 0))[0] and (got := self.aligned(item, low, data)):
+        for item, low, high in self.regions(data):
+            if out.get(item, (1, 0))[0] and (got := self.aligned(item, low, high, data)):
                 out[item] = min(out.get(item, got), got)
         return out
 
@@ -157,11 +190,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> D
     """``doc_id, item_id, edits, end_byte``: documents that hold an item within its edit budget."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, edits int, end_byte long"
-    out = None
-    for items in blocks(benchmark, rate):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def make(shared=shared):
+    def search(shared):
+        def make():
             def f(batch):
                 items, got = shared.value, []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -171,20 +202,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> D
 
             return f
 
-        part = common.arrow_map(rows, make, schema)
+        return common.arrow_map(rows, make, schema)
+
+    out = None
+    for shared, several in _broadcasts(docs.sparkSession, blocks(benchmark, rate)):
+        part = search(shared)
+        if several:
+            part = common.stage(part, "benchmark-block")
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFrame:
     """The rows of ``docs`` that hold no item; a map pass for each block, no join."""
-    at = docs.columns.index("text")
-    for items in blocks(benchmark, rate):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    at, schema = docs.columns.index("text"), docs.schema
 
-        def run(batches, shared=shared):
-            for b in batches:
-                yield b.filter(pa.array([not shared.value.matches(normal(t)) for t in b.column(at).to_pylist()], pa.bool_()))
+    def keep(shared):
+        def make():
+            def f(batch):
+                yield batch.filter(pa.array([not shared.value.matches(normal(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+            return f
 
-        docs = docs.mapInArrow(run, docs.schema)
+        return make
+
+    for shared, several in _broadcasts(docs.sparkSession, blocks(benchmark, rate)):
+        docs = common.arrow_map(docs, keep(shared), schema)
+        if several:
+            docs = common.stage(docs, "benchmark-block")
+            shared.unpersist()
     return docs
+
+
+def _broadcasts(spark, items: Iterator[Items]) -> Iterator[tuple]:
+    """Each block as a broadcast, and whether there are several."""
+    block, several = next(items, None), False
+    while block is not None:
+        shared, block = spark.sparkContext.broadcast(block), next(items, None)
+        several = several or block is not None
+        yield shared, several
