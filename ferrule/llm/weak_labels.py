@@ -1,19 +1,26 @@
 """Toxicity by weak supervision.
 
-1. Features (words and word beginnings) that stand out in toxic rows are mined
-   from a bounded sample of labelled training rows (``per_class`` rows a class).
-2. They and some patterns form twelve voters.  A document's votes are a 12-bit
-   mask, so all documents together have at most 4,096 kinds of votes, and only
-   the counts of the kinds reach the driver.
-3. A generative label model estimates each voter's accuracy by expectation
-   maximisation over the votes of all documents, without labels, and the voters'
-   correlations inside each class; a voter that repeats others counts less.
-4. A linear classifier is trained on the posterior labels of the sample rows and
-   scores every document in one map pass.
+1. Eleven voters look at a text on their own grounds; each votes toxic or abstains:
+   three written lexicons (insults, contempt, aversion; in four languages), four
+   lexicons mined from labelled training rows (words and word beginnings, each from
+   one half of a bounded sample, so that no row speaks for two of a kind), and four
+   patterns (shouting, runs of marks, masked words, one word over and over).
+2. All documents vote.  Votes are an 11-bit mask, so there are at most 2,048 kinds
+   of votes, and only their counts and a few rows of each kind reach the driver.
+3. A generative label model explains the votes of all documents, without labels:
+   a hidden class, for each class and voter how readily it votes, and for each pair
+   of voters that rest on the same ground (:data:`EDGES`) a coupling, all in one
+   log-linear model that is fitted by expectation maximisation.  The posterior
+   follows from it, so what a coupling explains counts once.
+4. A linear classifier over the lexicons' entries and the patterns is trained on
+   the posterior labels of at most ``per_kind`` training rows of each kind, weighted
+   by how many documents voted so, and scores every document in one map pass.
+
+Labels are used to mine lexicons and nowhere else.
 
 Defined cases: null or empty text has no features and scores as such; labels
 that are null do not count; a doc_id with several labels is toxic if one is;
-without usable labels there are no features and every score is 0; rows with
+without usable labels the mined lexicons are empty and the others go on; rows with
 equal doc_id are scored one by one; a null doc_id is scored, never learned from.
 """
 
@@ -24,24 +31,51 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 WORD = re.compile(r"[^\W\d_]+")
+MASKED = re.compile(r"[^\W\d_][*#@$]+[^\W\d_]")
 BEGINNINGS = (4, 5, 6, 7)
-VOTERS = 12
-CLEAN = 11  # the voter that votes for clean; all others vote for toxic
+
+INSULTS = (
+    "idiot idiots idiotic moron morons moronic stupid stupidity dumb dumbass fool fools imbecile imbeciles clown clowns loser losers jerk jerks retard cretin dimwit halfwit bastard bitch asshole "
+    "idioten dummkopf trottel vollidiot arschloch depp schwachkopf blödmann imbécile imbéciles crétin crétins abruti abrutis connard connards salaud débile idiota idiotas estúpido estúpida imbécil tonto tonta cabrón gilipollas pendejo"
+).split()
+CONTEMPT = (
+    "trash garbage scum worthless pathetic useless filth filthy vermin parasite parasites subhuman rubbish lowlife degenerate degenerates pest "
+    "abschaum dreck wertlos erbärmlich müll ungeziefer ordure ordures déchet racaille minable vermine basura escoria inútil patético despreciable gentuza"
+).split()
+AVERSION = (
+    "disgusting disgust hate hates hated hateful despise repulsive revolting vile loathe loathsome sickening ugly gross creep "
+    "hasse ekelhaft widerlich abscheulich hässlich dégoûtant dégueulasse répugnant déteste haine odio asqueroso asquerosa repugnante detesto"
+).split()
+WRITTEN = (INSULTS, CONTEMPT, AVERSION)
+#: Bits of a vote: the written lexicons, words and beginnings of either half, the patterns.
+WORDS, STARTS, PATTERNS = 3, 5, 7
+VOTERS = 11
+#: Voters that rest on the same ground: words of either half, beginnings of either half, words and beginnings of one half, and the written lexicons with what was mined as words.
+EDGES = ((3, 4), (5, 6), (3, 5), (4, 6), *((i, j) for i in range(3) for j in (3, 4)))
+
+
+@dataclass(frozen=True)
+class Features:
+    """The lexicons' entries: ``entries`` in a fixed order, and of each the voters that hold it, as a mask."""
+
+    entries: tuple[str, ...]
+    masks: tuple[int, ...]
 
 
 @dataclass(frozen=True)
 class Model:
-    features: tuple[str, ...]
-    weights: np.ndarray  # one a feature, then for log1p of hits, density, and the bias
+    features: Features
+    weights: np.ndarray  # one an entry, then a pattern, log1p of hits, density, and the bias
     prior: float
     accuracy: np.ndarray  # 2 × voters: chance to vote in clean and in toxic documents
-    correlation: np.ndarray  # voters × voters, mean of both classes
+    coupling: np.ndarray  # one an edge
     posterior: dict[int, float]
 
 
@@ -49,80 +83,116 @@ def names(word: str) -> list[str]:
     return [f"w:{word}", *(f"p:{word[:n]}" for n in BEGINNINGS if len(word) > n)]
 
 
+def lexicons(mined: dict[int, list[str]]) -> Features:
+    """Written entries, and those mined by half (0, 1)."""
+    held: dict[str, int] = {}
+    for k, words in enumerate(WRITTEN):
+        for w in words:
+            held[f"w:{w}"] = held.get(f"w:{w}", 0) | 1 << k
+    for half, entries in sorted(mined.items()):
+        for e in entries:
+            held[e] = held.get(e, 0) | 1 << ((WORDS if e[0] == "w" else STARTS) + half)
+    return Features(tuple(held), tuple(held.values()))
+
+
 class Reader:
-    """Feature indices of texts; what a word brings is cached (bounded)."""
+    """What a text shows: entries hit, the voters' mask, and its number of distinct words; what a word brings is cached (bounded)."""
 
-    def __init__(self, features: tuple[str, ...]):
-        self.index = {f: k for k, f in enumerate(features)}
+    def __init__(self, features: Features):
+        self.index = {f: k for k, f in enumerate(features.entries)}
+        self.masks = features.masks
         self.cache: dict[str, tuple[int, ...]] = {}
 
-    def __call__(self, text: str) -> tuple[list[int], int]:
-        words = set(WORD.findall(text.lower()))
+    def __call__(self, text: str) -> tuple[list[int], int, int]:
+        found = WORD.findall(text)
         cache, hits = self.cache, set()
-        if len(cache) > 400_000:
+        if len(cache) > 150_000:
             cache.clear()
+        words = set(map(str.lower, found))
         for w in words:
             got = cache.get(w)
             if got is None:
                 got = cache[w] = tuple(k for n in names(w) if (k := self.index.get(n)) is not None)
             if got:
                 hits.update(got)
-        return sorted(hits), len(words)
-
-
-def votes(hits: list[int], words: int, features: tuple[str, ...]) -> int:
-    """The voters' bits: 0-3 words and 4-7 beginnings by rank, 8 several hits, 9 a leading hit, 10 dense hits, 11 none."""
-    mask = 0
-    for k in hits:
-        mask |= 1 << ((k % 4) + (0 if features[k][0] == "w" else 4))
-    if len(hits) >= 2:
-        mask |= 1 << 8
-    if hits and hits[0] < 16:
-        mask |= 1 << 9
-    if hits and len(hits) * 60 >= words:
-        mask |= 1 << 10
-    return mask or 1 << CLEAN
-
-
-def vector(hits: list[int], words: int, n: int) -> np.ndarray:
-    x = np.zeros(n + 3)
+        mask = patterns(text, found, len(words)) << PATTERNS
+        for k in hits:
+            mask |= self.masks[k]
+        return sorted(hits), mask, len(words)
+
+
+def patterns(text: str, found: list[str], distinct: int) -> int:
+    """Bits: most words of three letters or more in capitals; three runs of ! or ?; a word with letters masked; words repeated ten times each on average."""
+    out = 0
+    long = [w for w in found if len(w) > 2]
+    if len(long) >= 3 and 2 * sum(map(str.isupper, long)) > len(long):
+        out |= 1
+    if text.count("!!") + text.count("??") >= 3:
+        out |= 2
+    if ("*" in text or "#" in text or "@" in text or "$" in text) and MASKED.search(text):
+        out |= 4
+    if distinct and len(found) >= 10 * distinct:
+        out |= 8
+    return out
+
+
+def vector(hits: list[int], mask: int, words: int, n: int) -> np.ndarray:
+    p = VOTERS - PATTERNS
+    x = np.zeros(n + p + 3)
     x[hits] = 1
-    x[n:] = np.log1p(len(hits)), min(1.0, 20 * len(hits) / max(1, words)), 1
+    x[n : n + p] = mask >> PATTERNS >> np.arange(p) & 1
+    x[n + p :] = np.log1p(len(hits)), min(1.0, 20 * len(hits) / max(1, words)), 1
     return x
 
 
-def label_model(kinds: dict[int, int], rounds: int = 40) -> tuple[float, np.ndarray, np.ndarray, dict[int, float]]:
-    """Prior, accuracies, correlations and posteriors from counts of vote masks."""
+def label_model(kinds: dict[int, int], voters: int = VOTERS, edges: tuple[tuple[int, int], ...] = EDGES, rounds: int = 60, penalty: float = 0.01) -> tuple[float, np.ndarray, np.ndarray, dict[int, float]]:
+    """Prior, accuracies, couplings and posteriors from counts of vote masks.
+
+    P(votes | class) is proportional to exp(a[class] . votes + sum of coupling x vote x vote over ``edges``);
+    its normaliser is summed over all 2**voters votes, so the fit is exact.
+    """
     masks = np.array(sorted(kinds), np.int64)
-    n = np.array([kinds[m] for m in masks.tolist()], float)
-    bits = (masks[:, None] >> np.arange(VOTERS) & 1).astype(float)
-    rate = np.stack([np.full(VOTERS, 0.02), np.full(VOTERS, 0.4)])
-    rate[:, CLEAN] = 0.95, 0.1
-    prior, weight, corr = 0.1, np.ones(VOTERS), np.zeros((VOTERS, VOTERS))
-    weight[CLEAN] = 0  # it votes when no other does, so the others' silence says the same already
-    post = np.zeros(len(n))
-    for k in range(rounds if len(n) else 0):
-        llr = np.where(bits > 0, np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0])))
-        post = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + llr @ weight, -50, 50)))
-        share = np.stack([n * (1 - post), n * post])
-        prior = float(np.clip(share[1].sum() / n.sum(), 1e-4, 0.5))
-        rate = np.clip((share @ bits + 0.1) / (share.sum(1, keepdims=True) + 0.2), 1e-4, 1 - 1e-4)
-        better = rate[1] >= rate[0]
-        better[CLEAN] = ~better[CLEAN]
-        rate[:, ~better] = rate[:, ~better].mean(0)  # a voter against its own sense says nothing
-        if k >= 3:
-            parts = []
+    share = np.array([kinds[m] for m in masks.tolist()], float)
+    share /= max(1.0, share.sum())
+    every = np.arange(1 << voters)
+    bits = (every[:, None] >> np.arange(voters) & 1).astype(float)
+    x = np.concatenate([bits, *[bits[:, i : i + 1] * bits[:, j : j + 1] for i, j in edges]], axis=1)
+    m, e = voters, len(edges)
+    a = np.stack([np.full(m, np.log(0.02 / 0.98)), np.full(m, np.log(0.4 / 0.6))])
+    phi, prior = np.zeros(e), 0.1
+
+    def states(y: int) -> tuple[np.ndarray, float]:
+        z = x @ np.concatenate([a[y], phi])
+        top = z.max()
+        p = np.exp(z - top)
+        return p / p.sum(), float(top + np.log(p.sum()))
+
+    post = np.zeros(len(masks))
+    for _ in range(rounds if len(masks) else 0):
+        odds = np.log(prior / (1 - prior)) + x[masks, :m] @ (a[1] - a[0]) - states(1)[1] + states(0)[1]
+        post = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        weight = np.stack([share * (1 - post), share * post])
+        prior = float(np.clip(weight[1].sum(), 1e-4, 0.5))
+        for _ in range(4):  # Newton steps of the maximisation
+            grad, hess = np.zeros(2 * m + e), np.zeros((2 * m + e, 2 * m + e))
             for y in (0, 1):
-                mean = rate[y]
-                cov = (bits - mean).T @ ((bits - mean) * share[y][:, None]) / max(share[y].sum(), 1e-9)
-                sd = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
-                parts.append(cov / sd[:, None] / sd)
-            corr = (parts[0] + parts[1]) / 2
-            near = np.clip(np.abs(corr) - np.eye(VOTERS), 0, 1)
-            near[:, CLEAN] = 0
-            weight = 1 / (1 + near.sum(1))
-            weight[CLEAN] = 0
-    return prior, rate, corr, dict(zip(masks.tolist(), post.tolist(), strict=True))
+                at = np.r_[y * m : y * m + m, 2 * m : 2 * m + e]
+                p, _ = states(y)
+                mean = p @ x
+                r = weight[y].sum()
+                seen = (weight[y] @ x[masks] + 1e-5 * 0.1) / (r + 1e-5 * 0.2)  # a trace of evidence for either side
+                grad[at] += r * (seen - mean)
+                hess[np.ix_(at, at)] += r * ((x * p[:, None]).T @ x - np.outer(mean, mean))
+            grad[2 * m :] -= penalty * phi
+            hess += np.diag(np.r_[np.full(2 * m, 1e-6), np.full(e, penalty)])
+            step = np.linalg.solve(hess, grad)
+            step *= min(1.0, 2 / (np.abs(step).max() + 1e-9))
+            a = np.clip(a + step[: 2 * m].reshape(2, m), -12, 12)
+            phi = np.clip(phi + step[2 * m :], -6, 6)
+        against = a[1] < a[0]
+        a[:, against] = a[:, against].mean(0)  # a voter against its own sense says nothing
+    rate = np.stack([states(y)[0] @ bits for y in (0, 1)])
+    return prior, rate, phi, dict(zip(masks.tolist(), post.tolist(), strict=True))
 
 
 def linear(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -140,86 +210,95 @@ def linear(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float = 1.0, ro
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4096, most_features: int = 256) -> Model:
-    """Learn from ``docs (doc_id, text)``; ``labels (doc_id, toxic)`` has training rows only.
-
-    ``per_class`` bounds the labelled rows of each class; the label model sees the votes of all of ``docs``.
-    """
+def mine(docs: DataFrame, labels: DataFrame, per_class: int, most_features: int) -> dict[int, list[str]]:
+    """For each half of the labelled sample the entries that stand out in its toxic rows, the strongest first."""
     seen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    shares = {r.toxic: r.n for r in seen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picks = [seen.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     sample = F.broadcast(picks[0].unionByName(picks[1]))  # 2 × per_class rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id")
-    # repeated doc_ids must not pass the bound
-    texts = common.stage(texts.select("toxic", F.coalesce("text", F.lit("")).alias("text")).orderBy(F.xxhash64("text")).limit(4 * per_class), "toxic-sample")
+    texts = docs.select("doc_id", "text").join(sample, "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
 
     def count():
         def f(batch):
-            ys, ts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            found: dict[str, list[int]] = {}
-            for y, t in zip(ys, ts, strict=True):
-                for n in {n for w in set(WORD.findall(t.lower())) for n in names(w)}:
-                    found.setdefault(n, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["feature", "clean", "toxic"])
+            found: dict[tuple[int, str], list[int]] = {}
+            for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                half = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) & 1
+                for n in {"", *(n for w in set(WORD.findall(t.lower())) for n in names(w))}:  # the empty name counts rows
+                    found.setdefault((half, n), [0, 0])[int(y > 0)] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found]), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["half", "entry", "clean", "toxic"])
 
         return f
 
-    sizes = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    lift = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("clean") + 0.5) / (n0 + 1))
-    mined = (
-        common.arrow_map(texts, count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .filter((F.col("toxic") >= max(5, n1 // 250)) & (lift >= 20))
-        .orderBy((F.col("toxic") * F.log(lift)).desc(), "feature").limit(most_features).collect()
-    )
-    features = tuple(r.feature for r in mined)
-
-    def kinds():
-        reader = Reader(features)
-
-        def f(batch):
-            got: dict[int, int] = {}
-            for t in batch.column(0).to_pylist():
-                m = votes(*reader(t or ""), features)
-                got[m] = got.get(m, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.int64())], ["mask", "n"])
-
-        return f
+    # texts stay in the tasks that read them; what is shuffled are entries' counts
+    counts = common.stage(common.arrow_map(texts, count, "half int, entry string, clean long, toxic long").groupBy("half", "entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-entries")
+    out = {}
+    for r in counts.filter("entry = ''").collect():
+        n0, n1 = r.clean, r.toxic
+        if not n1:
+            continue
+        lift = ((F.col("toxic") + 0.5) / (n1 + 1)) / ((F.col("clean") + 0.5) / (n0 + 1))
+        # an entry must be in five toxic rows or, where there are fewer than ten, in half of them, and in two
+        least = max(2, min(max(5, n1 // 250), (n1 + 1) // 2))
+        best = counts.filter((F.col("half") == r.half) & (F.col("entry") != "") & (F.col("toxic") >= least) & (lift >= 20))
+        out[r.half] = [x.entry for x in best.orderBy((F.col("toxic") * F.log(lift)).desc(), "entry").limit(most_features).collect()]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4096, most_features: int = 256, per_kind: int = 256, train: "F.Column | None" = None) -> Model:
+    """Learn from ``docs (doc_id, text)``; ``labels (doc_id, toxic)`` has training rows only.
 
-    cast = common.arrow_map(docs.select("text"), kinds, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n")).collect()  # 4,096 rows at most
-    prior, rate, corr, post = label_model({r.mask: r.n for r in cast})
+    ``per_class`` bounds the labelled rows of each class that lexicons are mined from, ``most_features``
+    the entries of each half, ``per_kind`` the rows (of those where ``train`` holds) of each kind of votes
+    that the classifier is fitted to; the label model sees the votes of all of ``docs``.
+    """
+    features = lexicons(mine(docs, labels, per_class, most_features))
+    schema = "mask long, n long, hash long, hits array<int>, words long"
 
-    def rows():
+    def cast(batches):
         reader = Reader(features)
-
-        def f(batch):
-            got = [reader(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in got], pa.list_(pa.int32())), pa.array([n for _, n in got], pa.int64())], ["toxic", "hits", "words"])
-
-        return f
-
-    known = common.arrow_map(texts, rows, "toxic int, hits array<int>, words long").collect() if features else []
-    weights = np.zeros(len(features) + 3)
+        count: dict[int, int] = {}
+        rows: dict[int, dict[int, tuple[list[int], int]]] = {}
+        for b in (x for whole in batches for x in common.small(whole)):
+            for t, usable in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                hits, m, words = reader(t or "")
+                count[m] = count.get(m, 0) + 1
+                if usable:
+                    kept = rows.setdefault(m, {})
+                    kept[xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "surrogatepass")) >> 1] = hits, words
+                    if len(kept) >= 4 * per_kind:
+                        rows[m] = dict(sorted(kept.items())[:per_kind])
+        out = [(m, n, None, None, None) for m, n in count.items()]
+        out += [(m, None, h, *kept[h]) for m, kept in rows.items() for h in sorted(kept)[:per_kind]]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64()), strict=True)], ["mask", "n", "hash", "hits", "words"])
+
+    votes = common.stage(docs.select("text", (F.lit(True) if train is None else train).alias("usable")).mapInArrow(cast, schema), "votes")
+    kinds = {r.mask: r.n for r in votes.filter("n IS NOT NULL").groupBy("mask").agg(F.sum("n").alias("n")).collect()}  # 2**VOTERS rows at most
+    prior, rate, coupling, post = label_model(kinds)
+    nth = F.row_number().over(Window.partitionBy("mask").orderBy("hash"))
+    known = votes.filter("n IS NULL").dropDuplicates(["mask", "hash"]).withColumn("nth", nth).filter(F.col("nth") <= per_kind).collect()  # per_kind rows a kind
+    n = len(features.entries)
+    weights = np.zeros(n + VOTERS - PATTERNS + 3)
     if known:
-        x = np.stack([vector(r.hits, r.words, len(features)) for r in known])
-        y = np.array([post.get(votes(r.hits, r.words, features), prior) for r in known])
-        # rows weigh as their class does among all labelled rows
-        share = {k: shares.get(k, 0) / max(1, sum(shares.values())) for k in (0, 1)}
-        w = np.array([share[r.toxic] / max(1, sizes[r.toxic]) for r in known]) * len(known)
-        weights = linear(x, y, w)
-    return Model(features, weights, prior, rate, corr, post)
+        of: dict[int, int] = {}
+        for r in known:
+            of[r.mask] = of.get(r.mask, 0) + 1
+        known.sort(key=lambda r: (r.mask, r.hash))
+        x = np.stack([vector(r.hits, r.mask, r.words, n) for r in known])
+        y = np.array([post[r.mask] for r in known])
+        # a row stands for the documents that voted as it does
+        w = np.array([kinds[r.mask] / of[r.mask] for r in known])
+        weights = linear(x, y, w * len(known) / w.sum())
+    return Model(features, weights, prior, rate, coupling, post)
 
 
 def scorer(model: Model):
     """text -> (score, vote mask)."""
-    reader, n = Reader(model.features), len(model.features)
+    reader, n = Reader(model.features), len(model.features.entries)
 
     def score(text: str | None) -> tuple[float, int]:
-        if not n:
-            return 0.0, 1 << CLEAN
-        hits, words = reader(text or "")
-        z = float(vector(hits, words, n) @ model.weights)
-        return 1 / (1 + np.exp(-min(30.0, max(-30.0, z)))), votes(hits, words, model.features)
+        hits, mask, words = reader(text or "")
+        z = float(vector(hits, mask, words, n) @ model.weights)
+        return 1 / (1 + np.exp(-min(30.0, max(-30.0, z)))), mask
 
     return score
 
@@ -244,32 +323,27 @@ def held_out() -> "F.Column":
     return common.crc_mod(F.col("doc_id"), 4) == 2
 
 
+def learnable() -> "F.Column":
+    return F.col("doc_id").isNotNull() & ~held_out()
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from labelled rows that are not held out; score all."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return predict(rows.select("doc_id", held_out().alias("held_out"), "text"), fit(rows, labels.select("doc_id", "toxic").filter(~held_out())))
+    return predict(rows.select("doc_id", held_out().alias("held_out"), "text"), fit(rows, labels.select("doc_id", "toxic").filter(~held_out()), train=learnable()))
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, columns as they were: one map pass, no join."""
-    model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic").filter(~held_out()))
+    model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels.select("doc_id", "toxic").filter(~held_out()), train=learnable())
     at = docs.columns.index("text")
 
     def make():
         score = scorer(model)
 
         def f(batch):
-            yield batch.filter(pa.array([score(t)[0] < threshold for t in batch.column(at).to_pylist()]))
+            yield batch.filter(pa.array([score(t)[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
         return f
 
-    return docs.mapInArrow(_per_batch(make), docs.schema)
-
-
-def _per_batch(make):
-    def run(batches):
-        f = make()
-        for b in batches:
-            yield from f(b)
-
-    return run
+    return common.arrow_map(docs, make, docs.schema)

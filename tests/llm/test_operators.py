@@ -395,6 +395,41 @@ def test_langid(spark, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_langid_grams_stay_in_their_text():
+    orders, bits = (1, 2, 3), 16
+    for texts in (["ab", "xyz", "", "q"], ["ab"], ["", ""]):
+        alone = [langid.hashed([t], orders, bits) for t in texts]
+        grams, lens = langid.hashed(texts, orders, bits)
+        assert lens.tolist() == [len(t) + 1 for t in texts]
+        for k, g in enumerate(grams):
+            assert g.tolist() == [x for a, _ in alone for x in a[k].tolist()]
+
+
+def test_langid_posterior(spark):
+    """Scores against naive Bayes by hand, whatever the batches."""
+    rnd = random.Random(3)
+    rows = [(i, "".join(rnd.choice("abcd " if i % 2 else "cdef ") for _ in range(rnd.randint(1, 9))), "xx" if i % 2 else "yy") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [{r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs.repartition(k, "doc_id")).collect()} for k in (1, 7)]
+    assert got[0] == got[1]
+
+    def grams(t):
+        p = "".join(c if c.isalpha() else " " for c in t.lower()) + " " * 3
+        return [bucket(p[k : k + n]) for n in (1, 2, 3) for k in range(len(t) + 1)]
+
+    bucket = lambda g: int(langid.hashed([g], (len(g),), 16)[0][0][0])
+    counts = {g: Counter() for g in ("xx", "yy")}
+    for i, t, g in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            counts[g].update(grams(t))
+    for i, t, _ in rows:
+        if any(map(str.isalpha, t)):
+            logs = {g: sum(math.log((c[x] + 0.5) / (sum(c.values()) + 0.5 * 65536)) for x in grams(t)) for g, c in counts.items()}
+            top = max(logs.values())
+            assert got[0][i][0] == max(sorted(logs), key=logs.get)
+            assert math.isclose(got[0][i][1], 1 / sum(math.exp((v - top) / math.sqrt(len(t) + 1)) for v in logs.values()), rel_tol=1e-4)
+
+
 def test_toxicity(spark, empty):
     rnd = random.Random(7)
     plain, bad = ["".join(rnd.choice("abcdeimnort") for _ in range(6)) for _ in range(400)], ["grobbel", "snorfig", "zwerple", "krattis"]
@@ -417,7 +452,42 @@ def test_toxicity(spark, empty):
     kept = weak_labels.clean(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in got)
     assert weak_labels.judge(empty.select("doc_id", "text"), labels).count() == 0
-    assert all(r.score == 0 for r in weak_labels.judge(docs, labels.limit(0)).collect())
+    blind = {r.doc_id: r for r in weak_labels.judge(docs.unionByName(spark.createDataFrame([(7000, "you idiot, worthless trash")], docs.schema)), labels.limit(0)).collect()}
+    assert not any(r.predicted for i, r in blind.items() if i != 7000)  # invented words mean nothing without labels
+    named = docs.selectExpr("doc_id", "text", "1 AS score", "2 AS toxic", "'x' AS mask", "3 AS held_out")
+    assert weak_labels.clean(named, labels).columns == named.columns and weak_labels.clean(named, labels).count() == kept.count()
+
+
+def test_toxicity_from_three_toxic_rows(spark):
+    rnd = random.Random(17)
+    plain = ["".join(rnd.choice("abcdeimnort") for _ in range(6)) for _ in range(200)]
+    rows = [(i, " ".join(rnd.choice(plain) for _ in range(20)) + (" grobbel snorfig" if i % 5 == 0 else "")) for i in range(400)]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    marks = [(i, 1) for i in ids if i % 5 == 0][:3] + [(i, 0) for i in ids if i % 5][:60]
+    got = weak_labels.judge(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+    assert sum(r.predicted == (r.doc_id % 5 == 0) for r in got) >= 0.97 * len(got)
+
+
+def test_voters_rest_on_their_own_grounds():
+    read = weak_labels.Reader(weak_labels.lexicons({0: ["w:grobbel", "p:snor"], 1: ["w:zwerp"]}))
+    mask = lambda t: read(t)[1]
+    bits = {"Idiot!": 0, "so WORTHLESS a thing": 1, "widerlich": 2, "Grobbel": 3, "zwerp": 4, "snorfig": 5, "THIS SHOUTS ALL ALONG": 7, "what!! why?? no!!": 8, "an id*ot here": 9, "word " * 10: 10}
+    assert {t: mask(t) for t in bits} == {t: 1 << b for t, b in bits.items()} and mask("") == mask("plain words") == 0
+
+
+def test_label_model_counts_coupled_voters_once():
+    """A voter that mostly repeats another is explained by their coupling; taken for independent, the pair claims too much."""
+    rng = np.random.default_rng(5)
+    y = rng.random(80_000) < 0.2
+    hit = np.where(y[:, None], rng.random((80_000, 4)) < [0.6, 0.7, 0.6, 0], rng.random((80_000, 4)) < [0.1, 0.05, 0.08, 0])
+    hit[:, 3] = np.where(rng.random(80_000) < 0.9, hit[:, 0], rng.random(80_000) < 0.05)
+    kinds = Counter((hit << np.arange(4)).sum(1).tolist())
+    true = {m: (y & ((hit << np.arange(4)).sum(1) == m)).sum() / n for m, n in kinds.items()}
+    error = {}
+    for edges in ((), ((0, 3),)):
+        _, _, phi, post = weak_labels.label_model(kinds, 4, edges, penalty=1e-4)
+        error[edges] = sum(n * abs(post[m] - true[m]) for m, n in kinds.items()) / 80_000
+    assert phi[0] > 1 and error[((0, 3),)] < 0.05 and error[((0, 3),)] < 0.5 * error[()]
 
 
 def test_label_model_finds_accuracies():
@@ -425,9 +495,13 @@ def test_label_model_finds_accuracies():
     rng = np.random.default_rng(3)
     y = rng.random(60_000) < 0.15
     hit = np.where(y[:, None], rng.random((60_000, 5)) < [0.7, 0.5, 0.6, 0.4, 0.8], rng.random((60_000, 5)) < [0.02, 0.01, 0.05, 0.02, 0.03])
-    masks = (hit << np.arange(5)).sum(1) | np.where(hit.any(1), 0, 1 << weak_labels.CLEAN)
-    prior, rate, corr, post = weak_labels.label_model(Counter(masks.tolist()))
-    assert abs(prior - 0.15) < 0.04 and abs(rate[1][:5] - [0.7, 0.5, 0.6, 0.4, 0.8]).max() < 0.12 and post[0b11111] > 0.95 > 0.3 > post[1 << weak_labels.CLEAN]
+    prior, rate, _, post = weak_labels.label_model(Counter((hit << np.arange(5)).sum(1).tolist()), 5, ())
+    assert abs(prior - 0.15) < 0.02 and abs(rate[1] - [0.7, 0.5, 0.6, 0.4, 0.8]).max() < 0.05 and abs(rate[0] - [0.02, 0.01, 0.05, 0.02, 0.03]).max() < 0.01 and post[0b11111] > 0.95 > 0.3 > post[0]
+    # posteriors are Bayes' rule on the fitted model
+    for m, p in post.items():
+        b = np.array([m >> k & 1 for k in range(5)])
+        like = np.where(b, rate, 1 - rate).prod(1)
+        assert math.isclose(p, prior * like[1] / (prior * like[1] + (1 - prior) * like[0]), rel_tol=0.02, abs_tol=1e-4)
 
 
 def test_url_filter(spark):
@@ -554,3 +628,80 @@ def test_url_hosts_of_many_labels_count_whole(spark, tmp_path):
     rows = spark.read.parquet(f"file://{tmp_path}/p").select(url_filter.host_path(F.col("url"))[0].alias("host"), "html")
     words = url_filter.host_words(rows).first().words
     assert "".join(words) == "x" * 100 + "pokertest" and "poker" in words
+
+
+def test_decontaminate_repetitive_text():
+    """One letter all along: each gram of the text meets each of the item's; memory stays bounded."""
+    import tracemalloc
+
+    items = decontaminate.Items([(1, b"a" * 2000), (2, b"ab" * 300), (3, b"a" * 900 + b"b" * 20)], 0.08)
+    tracemalloc.start()
+    got = items.matches(b"a" * 100_000)
+    assert tracemalloc.get_traced_memory()[1] < 400e6 and got[0][0] == 0 and got[2][0] == 20 and 1 not in got
+    tracemalloc.stop()
+    rnd = random.Random(4)
+    for _ in range(20):
+        item = "".join(rnd.choice("ab") for _ in range(40)).encode()
+        data = "".join(rnd.choice("ab") for _ in range(300)).encode() + item[:rnd.randrange(41)]
+        e = brute_edit(item, data)
+        found = decontaminate.Items([(0, item)], 0.08).matches(data)
+        assert ({} if e > 3 else {0: e}) == {k: v[0] for k, v in found.items()}
+
+
+def test_decontaminate_block_after_block(spark, docs):
+    bench = spark.createDataFrame([(k, r.text[:400]) for k, r in enumerate(docs.filter("length(text) > 300").orderBy("doc_id", "text").limit(5).collect())], "item_id long, text string")
+    whole = sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()), key=str)
+    kept = decontaminate.clean(docs, bench).count()
+    real = decontaminate.blocks
+    try:
+        decontaminate.blocks = lambda b, rate: real(b, rate, 500)
+        assert sorted(map(tuple, decontaminate.contaminated(docs, bench).collect()), key=str) == whole and whole
+        assert decontaminate.clean(docs, bench).count() == kept and decontaminate.clean(docs, bench).columns == docs.columns
+    finally:
+        decontaminate.blocks = real
+
+
+def hosts_of(spark, tmp_path, urls, html):
+    spark.createDataFrame([(k, u, html) for k, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/p")
+    rows = spark.read.parquet(f"file://{tmp_path}/p").select(url_filter.host_path(F.col("url"))[0].alias("host"), "html")
+    return {r.host: r.words for r in url_filter.host_words(rows).collect()}
+
+
+def test_url_labels_of_any_length_are_cut(spark, tmp_path):
+    label = "free" * 20 + "casino"  # 86 characters
+    many = ".".join(["x"] * 65 + ["casino", "test"])
+    word = "pneumonoultramicroscopic"  # longer than 20
+    got = hosts_of(spark, tmp_path, [f"http://{label}.test/", f"http://{many}/", f"http://{word}casino.test/"], f"free casino {word} test " * 40)
+    assert got[f"{label}.test"] == ["free"] * 20 + ["casino", "test"] and got[many][-2:] == ["casino", "test"] and got[f"{word}casino.test"] == [word, "casino", "test"]
+
+
+def test_url_bayes_blocks_hosts_without_seed_words(spark):
+    """The classifier catches what the list of seed words alone would miss, by hand-counted odds."""
+    bad, good = [f"http://casinojackpot{k}.test/spin" for k in range(40)], [f"http://gardenflowers{k}.test/grow" for k in range(40)]
+    urls = bad + good + ["http://jackpot.test/spin", "http://flowers.test/grow"]
+    pages = spark.createDataFrame([(k, u, "casino jackpot garden flowers spin grow test " * 5) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    assert (got[80].verdict, got[81].verdict) == ("block", "allow") and not set(url_filter.SEEDS) & {"jackpot", "spin"}
+    # multinomial naive Bayes by hand
+    tokens = lambda u: [w for w in re.findall(r"[^\W_]+", u.split("://")[1].replace("casinojackpot", "casino jackpot ").replace("gardenflowers", "garden flowers "))]
+    slot = lambda t: url_filter._slots(t, url_filter.TOKEN_BITS)[0]
+    counts = [Counter(), Counter()]
+    n = [0, 0]
+    for u in urls:
+        y = int("casino" in u)
+        n[y] += 1
+        counts[y].update(map(slot, tokens(u)))
+    size = 1 << url_filter.TOKEN_BITS
+    logs = lambda y, t: math.log(counts[y][slot(t)] + 0.01) - math.log(sum(counts[y].values()) + 0.01 * size)
+    for k in (80, 81, 0, 50):
+        want = math.log((n[1] + 1) / (n[0] + 1)) + sum(logs(1, t) - logs(0, t) for t in tokens(urls[k]))
+        assert math.isclose(got[k].score, want, rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_url_filter_odd_tables(spark):
+    schema = "page_id long, url string, html string, host string, words string, n long"
+    assert url_filter.judge(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, "http://a.com/en/1", None, "h", "w", 1), (None, "http://a.com/en/1", None, "h", "w", 1), (3, None, None, None, None, None), (4, "http://" + "a" * 5000 + ".com/en/", "", "", "", 0)]
+    got = url_filter.judge(spark.createDataFrame(rows, schema)).collect()
+    assert Counter(r.page_id for r in got) == {None: 2, 3: 1, 4: 1} and all(r.verdict in ("allow", "block") for r in got)
+    assert [r.rule for r in got if r.page_id in (None, 4)] == ["com/en/"] * 3
