@@ -6,25 +6,27 @@ equal windows have equal anchors.  Neighbouring windows with the same anchor
 occurrence form a run (at most 69 windows, 168 bytes); all windows of a run
 differ.  Runs are what is compared, and only with runs of the same anchor:
 
-1. Map tasks find the runs and send, for each, the hash of its anchor, a hash of
-   its bytes, and its place.  Equal runs of a task fold into the first one.
-2. By anchor hash, runs that equal an earlier one are removed whole; a run whose
-   anchor occurs once is done with.  The first of each content is kept for 3 if
-   its anchor has other contents.
+1. Map tasks find the runs and send, for each, the hash of its anchor, 128 bits of
+   its bytes' SHA-256, and its place.  Of equal runs a task sends the first two as
+   they are; the others are noted as removed, as what the first two say goes for them.
+2. By anchor hash, a run whose anchor occurs once is done with.  Of each content the
+   first two places are kept for 3; further ones are removed whole, as the second is.
 3. A second scan cuts out the bytes of those, and sends them by anchor hash.
 4. Each task builds collections of them (:class:`Columns`): every round inserts
    one symbol a run, from the last to the first, into the collection's transform,
    and updates the common-prefix lengths next to it, both held in sequential
    files that each round reads and writes anew.  Suffixes with common prefixes of
-   100 bytes are equal windows; all but the earliest are removed.
+   100 bytes are equal windows; all but the earliest are removed.  So the transform
+   decides each content that occurs twice, and each window that different contents share.
 5. A last scan turns removed windows into bytes.
 
 An anchor with more than ``crowd`` contents (a passage in very many settings)
 is compared window by window, each under the hash of its own 100 bytes.
 
 Texts are never shuffled.  Notes for a document go back to the scan task that
-reads it, as staged tables sorted by that task's number.  Scratch files of
-:class:`Columns` are private to a task, like Spark's own spill, and vanish with it.
+reads it, as staged tables sorted by that task's number.  The files of
+:class:`Columns` lie in the shared folder, under names of their own for each
+collection and attempt, and are deleted when their step is done.
 
 Order is (doc_id, row, start), null doc_ids last; null text is empty; texts under
 100 bytes have no windows; rows with equal doc_id are separate documents.
@@ -33,7 +35,7 @@ Order is (doc_id, row, start), null doc_ids last; null text is empty; texts unde
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,7 @@ from . import common
 K, ANCHOR = 100, 32
 SPAN = K - ANCHOR + 1  # anchor places in a window
 CHUNK = 1 << 19
-RUN = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc_id", "<i8"), ("row", "<i8"), ("start", "<i8"), ("n", "<i4")])
+RUN = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("more", "<u8"), ("doc_id", "<i8"), ("row", "<i8"), ("start", "<i8"), ("n", "<i4")])
 SPOT = np.dtype([("row", "<i8"), ("start", "<i8"), ("n", "<i4")])
 WANT = np.dtype([("anchor", "<u8"), ("row", "<i8"), ("start", "<i8"), ("n", "<i4"), ("crowded", "?")])
 NO_ID = (1 << 63) - 1
@@ -102,6 +104,18 @@ def spread(anchor: np.ndarray, parts: int) -> np.ndarray:
     return ((anchor >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
 
 
+def in_order(r: np.ndarray) -> np.ndarray:
+    """Runs by anchor and content, and those of one content by their place."""
+    return np.lexsort((r["start"], r["row"], r["doc_id"], r["more"], r["content"], r["anchor"]))
+
+
+def third(r: np.ndarray) -> np.ndarray:
+    """Which of ordered runs have two or more of the same anchor and content before them."""
+    out = np.zeros(len(r), bool)
+    out[2:] = (r["anchor"][2:] == r["anchor"][:-2]) & (r["content"][2:] == r["content"][:-2]) & (r["more"][2:] == r["more"][:-2])
+    return out
+
+
 def blobs(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     place, kind, src, data = zip(*rows, strict=True) if rows else ((), (), (), ())
     return pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(kind, pa.int32()), pa.array(src, pa.int32()), pa.array(data, pa.binary())], ["place", "kind", "src", "data"])
@@ -127,7 +141,7 @@ class Columns:
     Lengths are held up to 255.
     """
 
-    def __init__(self, texts: list[bytes], memory: int = 64 << 20):
+    def __init__(self, texts: list[bytes], folder: str):
         self.size = np.array([len(t) for t in texts], np.int64)
         m, longest = len(texts), int(self.size.max(initial=0))
         flat = np.frombuffer(b"".join(texts), np.uint8)
@@ -138,26 +152,38 @@ class Columns:
         for j in range(longest):
             ok = self.size > j
             grid[j, ok] = flat[(begin + self.size - 1 - j)[ok]].astype(self.kind) + self.kind(1)
-        # a lost task's files go with it: they have no name
-        self.files = [tempfile.SpooledTemporaryFile(max_size=memory) for _ in range(2)]
+        self.store, root = common.filesystem(folder)
+        self.store.create_dir(root, recursive=True)
+        self.name, self.generation = f"{root}/{uuid.uuid4().hex}", 0
         self.place = np.arange(m)  # of each text's longest suffix so far
         self._write(grid[0] if longest else np.zeros(m, self.kind), np.zeros(m, np.uint8))
         for j in range(1, longest + 1):
             self._round(grid[j] if j < longest else np.zeros(m, self.kind), self.size >= j)
 
+    def _paths(self) -> list[str]:
+        return [f"{self.name}-{self.generation}.{kind}" for kind in ("bwt", "lcp")]
+
     def _write(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        for f, x in zip(self.files, (bwt, lcp), strict=True):
-            f.seek(0)
-            f.truncate()
-            f.write(x.tobytes())
+        """The next generation of both files; the last one goes."""
+        old = self._paths() if self.generation else []
+        self.generation += 1
+        for path, x in zip(self._paths(), (bwt, lcp), strict=True):
+            with self.store.open_output_stream(path, buffer_size=0) as f:
+                f.write(pa.py_buffer(x))
+        for path in old:
+            self.store.delete_file(path)
 
     def read(self) -> tuple[np.ndarray, np.ndarray]:
         out = []
-        for f, kind in zip(self.files, (self.kind, np.uint8), strict=True):
-            f.seek(0)
-            out.append(np.frombuffer(f.read(), kind))
+        for path, kind in zip(self._paths(), (self.kind, np.uint8), strict=True):
+            with self.store.open_input_stream(path) as f:
+                out.append(np.frombuffer(f.read(), kind))
         return tuple(out)
 
+    def close(self) -> None:
+        for path in self._paths():
+            self.store.delete_file(path)
+
     def _round(self, before: np.ndarray, live: np.ndarray) -> None:
         """Insert, for each live text, the suffix one byte longer; ``before``: the symbol in front of it."""
         bwt, lcp = self.read()
@@ -244,10 +270,11 @@ class Minima:
         return out
 
 
-def windows(texts: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(texts: list[bytes], folder: str, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts, starts and group numbers of strings of ``k`` bytes that occur more than once; equal ones share the number."""
-    c = Columns(texts)
+    c = Columns(texts, folder)
     bwt, lcp = c.read()
+    c.close()
     n = len(bwt)
     order = np.argsort(bwt, kind="stable")
     none = n - int(np.count_nonzero(bwt))
@@ -273,15 +300,9 @@ def windows(texts: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray, np.
     return text[rows], start[rows], g
 
 
-def equal_windows(texts: list[bytes], k: int = K) -> list[np.ndarray]:
-    """The groups, each as an array of (text, start)."""
-    text, start, group = windows(texts, k)
-    return np.split(np.stack([text, start], axis=1), np.flatnonzero(np.diff(group)) + 1) if len(text) else []
-
-
-def later(texts: list[bytes], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def later(texts: list[bytes], folder: str, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first start, how many) of the neighbouring strings that are not the first of their group, in the order of text and start."""
-    text, start, group = windows(texts, k)
+    text, start, group = windows(texts, folder, k)
     order = np.lexsort((start, text, group))
     again = np.append(False, group[order][1:] == group[order][:-1])[: len(order)]
     keep = order[again]
@@ -315,6 +336,7 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataF
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = common.with_row(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scratch = common.shared_dir(spark, "columns")
 
     def find(batches):
         held: list[np.ndarray] = []
@@ -325,10 +347,8 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataF
             r = np.concatenate(held)
             held.clear()
             count = 0
-            order = np.lexsort((r["start"], r["row"], r["doc_id"], r["content"], r["anchor"]))
-            r = r[order]
-            again = np.zeros(len(r), bool)
-            again[1:] = (r["anchor"][1:] == r["anchor"][:-1]) & (r["content"][1:] == r["content"][:-1])
+            r = r[in_order(r)]
+            again = third(r)
             dup = np.zeros(int(again.sum()), SPOT)
             for f in SPOT.names:
                 dup[f] = r[f][again]
@@ -348,8 +368,8 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataF
                 anchor, start, n = runs(raw)
                 r = np.zeros(len(anchor), RUN)
                 r["anchor"], r["start"], r["n"], r["row"], r["doc_id"] = anchor, start, n, row, NO_ID if doc_id is None else doc_id
-                h = xxhash.xxh3_64_intdigest
-                r["content"] = [h(raw[a:e]) for a, e in zip(start.tolist(), (start + n + K - 1).tolist(), strict=True)]
+                digest = b"".join([hashlib.sha256(raw[a:e]).digest()[:16] for a, e in zip(start.tolist(), (start + n + K - 1).tolist(), strict=True)])
+                r["content"], r["more"] = np.frombuffer(digest, "<u8").reshape(-1, 2).T
                 held.append(r)
                 count += len(r)
                 if count >= 500_000:
@@ -368,22 +388,19 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataF
         if held:
             r = np.concatenate(held)
             held.clear()
-            r = r[np.lexsort((r["start"], r["row"], r["doc_id"], r["content"], r["anchor"]))]
-            new_anchor = np.ones(len(r), bool)
-            new_anchor[1:] = r["anchor"][1:] != r["anchor"][:-1]
-            new = new_anchor.copy()
-            new[1:] |= r["content"][1:] != r["content"][:-1]
-            dup = np.zeros(int((~new).sum()), SPOT)
+            r = r[in_order(r)]
+            again = third(r)
+            dup = np.zeros(int(again.sum()), SPOT)
             for f in SPOT.names:
-                dup[f] = r[f][~new]
+                dup[f] = r[f][again]
             out += by_source(dup, 1, DUP)
-            r, starts = r[new], new_anchor[new]
-            group = np.cumsum(starts) - 1
-            many = np.bincount(group)[group] if len(r) else np.zeros(0, np.int64)
+            r = r[~again]
+            group = np.cumsum(np.append(True, r["anchor"][1:] != r["anchor"][:-1])) - 1
+            many = np.bincount(group)[group]
             want = np.zeros(int((many > 1).sum()), WANT)
             for f in ("anchor", "row", "start", "n"):
                 want[f] = r[f][many > 1]
-            want["crowded"] = many[many > 1] > crowd
+            want["crowded"] = many[many > 1] > 2 * crowd
             out += by_source(want, 1, WANTED)
         if out:
             yield blobs(out)
@@ -443,18 +460,17 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataF
         order = np.lexsort((h["start"], h["row"], h["doc_id"], h["anchor"]))
         out = []
 
-        equal: list[int] = []
-
-        # equal strings fold into the earliest; groups of one anchor stay in one collection
-        members: list[int] = []
-        group: dict[bytes, int] = {}
+        equal: list[int] = []  # the third and further of equal bytes: removed, as the second is
+        members: list[int] = []  # groups of one anchor stay in one collection
+        group: list[int] = []
+        seen: dict[bytes, int] = {}
         last = None
 
         def solve():
             if len(members) > 1:
                 # equal windows have the same anchor, and members of one anchor stand in the order of documents and starts
                 at = np.array(members)
-                text, start, n = later([texts[i] for i in members])
+                text, start, n = later([texts[i] for i in members], scratch)
                 spots = np.zeros(len(text), SPOT)
                 spots["row"], spots["start"], spots["n"] = h["row"][at[text]], h["start"][at[text]] + start, n
                 out.extend(by_source(spots, 1, DUP))
@@ -463,16 +479,14 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataF
         for i in order.tolist():
             if h["anchor"][i] != last:
                 if len(group) > 1:
-                    members.extend(group.values())
+                    members.extend(group)
                 if len(members) >= collection:
                     solve()
-                group, last = {}, h["anchor"][i]
-            if texts[i] in group:
-                equal.append(i)
-            else:
-                group[texts[i]] = i
+                group, seen, last = [], {}, h["anchor"][i]
+            seen[texts[i]] = seen.get(texts[i], 0) + 1
+            (group if seen[texts[i]] <= 2 else equal).append(i)
         if len(group) > 1:
-            members.extend(group.values())
+            members.extend(group)
         solve()
         spots = np.zeros(len(equal), SPOT)
         for f in SPOT.names:
@@ -483,6 +497,7 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataF
 
     pieces = rows.mapInArrow(cut, BLOBS).repartitionById(parts, F.col("place")).mapInArrow(compare, BLOBS)
     second = _shelve(pieces, parts, "windows")
+    common.remove(spark, scratch)
 
     def report(batches):
         from pyspark import TaskContext

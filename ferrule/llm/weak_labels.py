@@ -274,8 +274,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4096, most_features
     votes = common.stage(docs.select("text", (F.lit(True) if train is None else train).alias("usable")).mapInArrow(cast, schema), "votes")
     kinds = {r.mask: r.n for r in votes.filter("n IS NOT NULL").groupBy("mask").agg(F.sum("n").alias("n")).collect()}  # 2**VOTERS rows at most
     prior, rate, coupling, post = label_model(kinds)
-    nth = F.row_number().over(Window.partitionBy("mask").orderBy("hash"))
-    known = votes.filter("n IS NULL").dropDuplicates(["mask", "hash"]).withColumn("nth", nth).filter(F.col("nth") <= per_kind).collect()  # per_kind rows a kind
+    known = votes.filter("n IS NULL").dropDuplicates(["mask", "hash"]).withColumn("salt", F.pmod("hash", F.lit(256)))
+    for keys in (("mask", "salt"), ("mask",)):  # a frequent kind has rows from all tasks: they are thinned in 256 shares first
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))
+        known = known.withColumn("nth", nth).filter(F.col("nth") <= per_kind)
+    known = known.collect()  # per_kind rows a kind
     n = len(features.entries)
     weights = np.zeros(n + VOTERS - PATTERNS + 3)
     if known:

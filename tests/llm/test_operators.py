@@ -182,17 +182,19 @@ def test_suffix_dedup_repeated_rows(docs):
     assert got.count() == docs.count() and got.filter("doc_id is null").first().n_removed > 0
 
 
-def test_columns_against_sorting():
+def test_columns_against_sorting(tmp_path):
     rnd = random.Random(3)
     for _ in range(60):
         texts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(0, 25))) for _ in range(rnd.randrange(1, 9))]
-        c = suffix_dedup.Columns(texts)
+        c = suffix_dedup.Columns(texts, f"file://{tmp_path}/c")
+        assert len(list((tmp_path / "c").iterdir())) == 2  # one generation of files is left
         bwt, lcp = c.read()
         order = sorted(((t[s:], i, s) for i, t in enumerate(texts) for s in range(len(t) + 1)), key=lambda x: (x[0], x[1]))
         assert [x if x else 0 for x in bwt.tolist()] == [texts[i][s - 1] + 1 if s else 0 for _, i, s in _same_order(order, texts, c)]
         for k in range(1, len(order)):
             a, b = order[k - 1][0], order[k][0]
             assert lcp[k] == next((j for j, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        c.close()
 
 
 def _same_order(order, texts, c):
