@@ -9,8 +9,9 @@ seating keeps customers ``c`` and tables ``t``, and each table is a customer of
 the parent.
 
 Seating is sampled by blocked Gibbs: a dish's tables are drawn anew from their
-distribution given all other dishes (generalised Stirling numbers up to 64
-customers, customer by customer in growing blocks beyond), then the parent's.
+distribution given all other dishes, then the parent's: by generalised Stirling
+numbers up to 64 customers; beyond, by their limit (Poisson) where tables are few and
+by Metropolis-Hastings where they are many, within 5 % of the exact mean (tests).
 Discounts follow from the numbers of dishes with one and two customers.  Scores
 use predictive probabilities averaged over the samples.
 
@@ -20,7 +21,8 @@ one task; later rounds read the staged buckets.  What a task does not know, the
 tables of the restaurants, it takes from the last round's sums (distributed Gibbs
 with stale totals), which are arrays of fixed size.  Words that make up much of
 the corpus (at most ``HEAVY``) are spread by context, and their unigram dishes
-are summed like the restaurants.  Partial scores go back by group of documents,
+are seated on the driver from summed customers.  Draws are a function of dish and
+sweep, so scores do not depend on the number of tasks.  Partial scores go back by group of documents,
 a few bytes for each document and bucket.
 
 No vocabulary or count is cut off, and dishes grow with the corpus.  The restaurants do not:
@@ -33,6 +35,7 @@ training rows N and V are 0 and the model is uniform.
 
 from __future__ import annotations
 
+import math
 import struct
 from array import array
 from collections import Counter
@@ -119,7 +122,39 @@ def log_stirling(discount: float, n: int = EXACT) -> np.ndarray:
     return s
 
 
-def draw_tables(c: np.ndarray, rate: np.ndarray, discount: float, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def uniform(key: np.ndarray, salt: int) -> np.ndarray:
+    """A number from 0 to 1 for each 64-bit key and salt: a dish's draws depend on the dish, not on the task that makes them."""
+    z = key + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ z >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def binomial(n: np.ndarray, p: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
+    """Draws of successes in ``n`` trials: by inversion, or rounded normal where over 50 are expected."""
+    p, u = np.clip(p, 0, 1), uniform(key, salt)
+    q = np.minimum(p, 1 - p)
+    mean, out = n * q, np.zeros(len(n), np.int64)
+    wide = mean > 50
+    if wide.any():
+        z = np.sqrt(-2 * np.log(1 - u[wide])) * np.cos(2 * np.pi * uniform(key[wide], ~salt))
+        out[wide] = np.rint(mean[wide] + np.sqrt(mean[wide] * (1 - q[wide])) * z)
+    at, k = np.flatnonzero(~wide), 0
+    pmf = np.exp(n[at] * np.log1p(-q[at]))
+    seen = pmf.copy()
+    while True:
+        go = (seen < u[at]) & (k < n[at])
+        if not go.any():
+            break
+        at, pmf, seen = at[go], pmf[go], seen[go]
+        pmf *= (n[at] - k) / (k + 1) * q[at] / (1 - q[at])
+        seen += pmf
+        k += 1
+        out[at] = k
+    return np.clip(np.where(p > 0.5, n - out, out), 0, n)
+
+
+def draw_tables(c: np.ndarray, rate: np.ndarray, discount: float, table: np.ndarray, key: np.ndarray, salt: int) -> np.ndarray:
     """Tables of dishes with ``c`` customers; ``rate``: weight of a new table, (strength + discount × tables) × parent probability."""
     t = np.minimum(c, 1)
     small = np.flatnonzero((c > 1) & (c <= EXACT))
@@ -131,18 +166,57 @@ def draw_tables(c: np.ndarray, rate: np.ndarray, discount: float, table: np.ndar
             h = g[at : at + (1 << 15)]
             p = table[n, 1 : n + 1] + k * np.log(np.maximum(rate[h], 1e-300))[:, None]
             p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), axis=1)
-            t[h] = 1 + (p < rng.random(len(h))[:, None] * p[:, -1:]).sum(1)
+            t[h] = 1 + (p < uniform(key[h], salt)[:, None] * p[:, -1:]).sum(1)
     large = np.flatnonzero(c > EXACT)
-    if len(large):
-        n, r, got, at = c[large], rate[large], np.ones(len(large)), 1
-        most = int(n.max())
-        while at < most:
+    few = rate[large] < c[large] ** discount
+    some = large[few]  # the limit for many customers: S(c, t) falls as discount**-t / (t - 1)!
+    t[some] = np.minimum(c[some], 1 + binomial(np.full(len(some), 1 << 40), rate[some] / discount * 2.0**-40, key[some], salt))
+    some = large[~few]
+    if len(some):
+        some = some[np.argsort(-c[some], kind="stable")]
+        t[some] = many_tables(c[some], rate[some], discount, key[some], salt)
+    return t
+
+
+_log_gamma = np.frompyfunc(math.lgamma, 1, 1)
+
+
+def many_tables(c: np.ndarray, rate: np.ndarray, discount: float, key: np.ndarray, salt: int, steps: int = 2) -> np.ndarray:
+    """Tables of dishes with many customers (``c`` descending) and a rate of c**discount or more: chance in proportion to S(c, t) rate**t, by Metropolis-Hastings.
+
+    Proposals come from a restaurant of strength s, whose chances are S(c, t) times the product of
+    s + i discount; s is where rate meets those factors at the expected t, so most proposals are taken.
+    """
+    low, high = np.full(len(c), -60.0), np.log(rate)  # s in logarithms: s**(1 - discount) (s + c)**discount == rate
+    low = np.minimum(low, high - 1)
+    for _ in range(40):
+        mid = (low + high) / 2
+        over = (1 - discount) * mid + discount * np.log(np.exp(mid) + c) > np.log(rate)
+        low, high = np.where(over, low, mid), np.where(over, mid, high)
+    strength = np.exp(low)
+
+    def seated(step: int) -> np.ndarray:
+        """Customers come one by one and then in blocks, at a rate taken from the block's middle."""
+        got, at, block = np.ones(len(c), np.int64), 1, 0
+        while True:
+            n = int(np.searchsorted(-c, -at))  # dishes with more customers than that
+            if not n:
+                return got
             size = max(1, at // 16)
-            left = np.clip(n - at, 0, size)
-            new = r / (at - discount * got + r)
-            got += rng.binomial(left, np.clip(new, 0, 1))
-            at += size
-        t[large] = np.minimum(got.astype(np.int64), n)
+            left = np.minimum(c[:n] - at, size)
+            p = (strength[:n] + discount * got[:n]) / (strength[:n] + at + (size - 1) / 2)
+            got[:n] += binomial(left, p, key[:n], salt + 4096 * (1 + block * (steps + 1) + step))
+            at, block = at + size, block + 1
+
+    def weight(t: np.ndarray) -> np.ndarray:
+        return t * np.log(rate / discount) - _log_gamma(strength / discount + t).astype(np.float64)
+
+    t = seated(0)
+    for step in range(1, steps + 1):
+        new = seated(step)
+        with np.errstate(divide="ignore"):
+            taken = np.log(uniform(key, ~(salt + 4096 * step))) < weight(new) - weight(t)
+        t = np.where(taken, new, t)
     return t
 
 
@@ -162,6 +236,11 @@ class Totals:
     heavy_customers: np.ndarray = field(default_factory=lambda: np.zeros(HEAVY, np.int64))
     heavy_tables: np.ndarray = field(default_factory=lambda: np.zeros(HEAVY, np.int64))
 
+    @property
+    def root_rate(self) -> float:
+        """Weight of a new table of a word in the unigram restaurant."""
+        return (STRENGTH + self.root_discount * self.root_tables) / (self.vocabulary + 1)
+
 
 class Bucket:
     """The restaurants' dishes for the words of one bucket."""
@@ -185,6 +264,7 @@ class Bucket:
         # the place of each word among the heavy ones, or -1
         at = np.minimum(np.searchsorted(heavy, self.words), max(0, len(heavy) - 1))
         self.heavy = np.where(heavy[at] == self.words, at, -1) if len(heavy) else np.full(len(self.words), -1)
+        self.key = self.words[self.w] ^ (self.context.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         self.t = np.ones(len(self.c), np.int64)
         self.seat()
 
@@ -201,15 +281,15 @@ class Bucket:
 
     def unigram(self, totals: Totals) -> np.ndarray:
         c1, t1 = self.known(totals)
-        new = (STRENGTH + totals.root_discount * totals.root_tables) / (totals.vocabulary + 1)
-        return (np.maximum(c1 - totals.root_discount * t1, 0) + new) / (totals.root_customers + STRENGTH)
+        return (np.maximum(c1 - totals.root_discount * t1, 0) + totals.root_rate) / (totals.root_customers + STRENGTH)
 
-    def sweep(self, totals: Totals, tables: tuple[np.ndarray, np.ndarray], rng) -> None:
+    def sweep(self, totals: Totals, tables: tuple[np.ndarray, np.ndarray], salt: int) -> None:
         rate = (STRENGTH + totals.discount * totals.context_tables[self.context]) * self.unigram(totals)[self.w]
-        self.t = draw_tables(self.c, rate, totals.discount, tables[0], rng)
+        self.t = draw_tables(self.c, rate, totals.discount, tables[0], self.key, salt)
         self.seat()
-        root = np.full(len(self.words), (STRENGTH + totals.root_discount * totals.root_tables) / (totals.vocabulary + 1))
-        self.t1 = draw_tables(self.c1, root, totals.root_discount, tables[1], rng)
+        # a heavy word's customers are spread over buckets; its unigram dish is seated on the driver
+        own = np.flatnonzero(self.heavy < 0)
+        self.t1[own] = draw_tables(self.c1[own], np.full(len(own), totals.root_rate), totals.root_discount, tables[1], self.words[own], salt)
 
     def sums(self) -> dict[str, np.ndarray]:
         h = self.heavy >= 0
@@ -217,21 +297,27 @@ class Bucket:
         out = {
             "customers": np.bincount(self.context, self.c, size), "tables": np.bincount(self.context, self.t, size),
             "scalars": np.array([self.count.sum(), (~h).sum(), (self.c == 1).sum(), (self.c == 2).sum(), (self.c1[~h] == 1).sum(), (self.c1[~h] == 2).sum(), self.t.sum(), self.t1[~h].sum()]),
-            "heavy_count": np.bincount(self.heavy[h], self.count[h], HEAVY), "heavy_customers": np.bincount(self.heavy[h], self.c1[h], HEAVY), "heavy_tables": np.bincount(self.heavy[h], self.t1[h], HEAVY),
+            "heavy_count": np.bincount(self.heavy[h], self.count[h], HEAVY), "heavy_customers": np.bincount(self.heavy[h], self.c1[h], HEAVY),
         }
         return {k: v.astype(np.int64) for k, v in out.items()}
 
 
-SIZES = {"customers": 1 << CONTEXT_BITS, "tables": 1 << CONTEXT_BITS, "scalars": 8, "heavy_count": HEAVY, "heavy_customers": HEAVY, "heavy_tables": HEAVY}
+SIZES = {"customers": 1 << CONTEXT_BITS, "tables": 1 << CONTEXT_BITS, "scalars": 8, "heavy_count": HEAVY, "heavy_customers": HEAVY}
 
 
-def _totals(rows: DataFrame, before: Totals | None) -> Totals:
+def _totals(rows: DataFrame, before: Totals | None, heavy: np.ndarray, salt: int = 0) -> Totals:
+    """Sums of a round over all buckets; heavy words' unigram dishes are seated here, from their whole customers."""
     s = common.gathered(rows, SIZES)
     n, v, one, two, root_one, root_two, tables, root = s["scalars"].tolist()
     seen = int((s["heavy_count"] > 0).sum())
-    # a heavy word's tables were drawn bucket by bucket; its unigram dish has at least one
-    heavy_tables = np.minimum(s["heavy_tables"], s["heavy_customers"])
-    out = Totals(n, v + seen, one / (one + 2 * two) if one else 0.5, root_one / (root_one + 2 * root_two) if root_one else 0.5, s["customers"], s["tables"], tables, root + int(heavy_tables.sum()), s["heavy_count"], s["heavy_customers"], heavy_tables)
+    customers = s["heavy_customers"]
+    if before is None:  # until tables are drawn, a dish has one
+        drawn = np.minimum(customers, 1)
+    else:
+        some = np.flatnonzero(customers[: len(heavy)])
+        drawn = np.zeros(HEAVY, np.int64)
+        drawn[some] = draw_tables(customers[some], np.full(len(some), before.root_rate), before.root_discount, log_stirling(before.root_discount), heavy[some], salt)
+    out = Totals(n, v + seen, one / (one + 2 * two) if one else 0.5, root_one / (root_one + 2 * root_two) if root_one else 0.5, s["customers"], s["tables"], tables, root + int(drawn.sum()), s["heavy_count"], customers, drawn)
     out.discount, out.root_discount = (min(0.95, max(0.05, x)) for x in (out.discount, out.root_discount))
     if before is not None:
         out.discount, out.root_discount = before.discount, before.root_discount
@@ -330,36 +416,36 @@ def score(docs: DataFrame, train: "F.Column | None" = None, burn: int = 2, sampl
     def count(place, held):
         yield common.array_rows(Bucket([d for kind, _, d in held if kind == TRAIN], heavy).sums())
 
-    totals = _totals(each(count, ARRAYS), None)
-    # until tables are drawn, a unigram dish of a heavy word has one
-    totals.heavy_tables = np.minimum(totals.heavy_customers, 1)
+    totals = _totals(each(count, ARRAYS), None, heavy)
     shared = spark.sparkContext.broadcast(totals)
 
-    def sampled(place, held, totals, tables, rounds):
-        bucket, rng = Bucket([d for kind, _, d in held if kind == TRAIN], heavy), np.random.default_rng([seed, place])
-        for _ in range(rounds):
-            bucket.sweep(totals, tables, rng)
-        return bucket, rng
+    def sampled(held, totals, tables, salt):
+        bucket = Bucket([d for kind, _, d in held if kind == TRAIN], heavy)
+        for k in range(burn):
+            bucket.sweep(totals, tables, salt + k)
+        return bucket
+
+    first, second = seed << 40, seed << 40 | 1 << 11  # the passes' salts; a block's draw adds multiples of 4096
 
     def seat(place, held):
         totals = shared.value
         tables = log_stirling(totals.discount), log_stirling(totals.root_discount)
-        yield common.array_rows(sampled(place, held, totals, tables, burn)[0].sums())
+        yield common.array_rows(sampled(held, totals, tables, first).sums())
 
-    totals = _totals(each(seat, ARRAYS), totals)
+    totals = _totals(each(seat, ARRAYS), totals, heavy, first + burn)
     shared_last = spark.sparkContext.broadcast(totals)
 
     def judge(place, held):
         totals = shared_last.value
         tables = log_stirling(totals.discount), log_stirling(totals.root_discount)
-        bucket, rng = sampled(place, held, totals, tables, burn)
+        bucket = sampled(held, totals, tables, second)
         m = len(bucket.words)
-        fresh = (STRENGTH + totals.root_discount * totals.root_tables) / (totals.vocabulary + 1)
+        fresh = totals.root_rate
         heavy_p = (np.maximum(totals.heavy_customers - totals.root_discount * totals.heavy_tables, 0) + fresh) / (totals.root_customers + STRENGTH)
         count = np.append(np.where(bucket.heavy >= 0, totals.heavy_count[np.maximum(bucket.heavy, 0)], bucket.count), 0)
         states = []  # a sample is what its dishes and words weigh
-        for _ in range(samples):
-            bucket.sweep(totals, tables, rng)
+        for k in range(samples):
+            bucket.sweep(totals, tables, second + burn + k)
             own = (bucket.c - totals.discount * bucket.t).astype(np.float32)
             states.append((own, np.append(bucket.unigram(totals), fresh / (totals.root_customers + STRENGTH))))
         for _, flush, data in held:

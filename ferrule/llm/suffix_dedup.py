@@ -532,8 +532,11 @@ RUN_HEAD = np.dtype([("anchor", "<u8"), ("n", "<i4"), ("doc_id", "<i8"), ("row",
 
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-w AS (SELECT doc_id, unnest(range(CAST(greatest(length(h) // 2 - 99, 0) AS BIGINT))) AS s, h FROM d),
-g AS (SELECT doc_id, s, row_number() OVER (PARTITION BY substr(h, 2 * s + 1, 200) ORDER BY doc_id, s) AS k FROM w),
+b AS (SELECT doc_id, h, unnest(range(CAST(greatest((length(h) // 2 - 99 + 255) // 256, 0) AS BIGINT))) * 256 AS base FROM d),
+c AS (SELECT doc_id, base, substr(h, 2 * base + 1, 2 * (256 + 99)) AS h FROM b),
+w AS (SELECT doc_id, base + o AS s, md5_number(substr(h, 2 * o + 1, 200)) AS x
+      FROM (SELECT doc_id, base, h, unnest(range(CAST(length(h) // 2 - 99 AS BIGINT))) AS o FROM c)),
+g AS (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS k FROM w),
 r AS (SELECT doc_id, s, s > coalesce(max(s) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 100, -1) AS fresh FROM g WHERE k > 1),
 i AS (SELECT doc_id, s, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM r),
 p AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM i GROUP BY doc_id, run),

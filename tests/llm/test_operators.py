@@ -356,6 +356,7 @@ def test_hpylm(docs, empty):
 def test_hpylm_predictive_sums_to_one():
     """With totals from its own seating, a bucket's predictive probabilities over all words and the unseen one sum to 1."""
     rng = np.random.default_rng(0)
+    salts = iter(range(99))
     word, context = rng.integers(1, 40, 5000).astype(np.uint64), rng.integers(0, 5, 5000)
     b = hpylm.Bucket([hpylm.pack_events(word, context, np.zeros(5000, int))], np.zeros(0, np.uint64))
     t = hpylm.Totals(5000, len(b.words))
@@ -371,7 +372,7 @@ def test_hpylm_predictive_sums_to_one():
             own[b.w[b.context == u]] = (b.c - 0.5 * b.t)[b.context == u]
             back = 1 + 0.5 * t.context_tables[u]
             assert math.isclose(((own + back * parent).sum() + back * unseen) / (t.context_customers[u] + 1), 1, rel_tol=1e-9)
-        b.sweep(t, tables, rng)
+        b.sweep(t, tables, next(salts))
         assert ((b.t >= 1) & (b.t <= b.c)).all() and ((b.t1 >= 1) & (b.t1 <= b.c1)).all()
 
 
@@ -707,3 +708,87 @@ def test_url_filter_odd_tables(spark):
     got = url_filter.judge(spark.createDataFrame(rows, schema)).collect()
     assert Counter(r.page_id for r in got) == {None: 2, 3: 1, 4: 1} and all(r.verdict in ("allow", "block") for r in got)
     assert [r.rule for r in got if r.page_id in (None, 4)] == ["com/en/"] * 3
+
+
+def test_hpylm_scores_do_not_depend_on_partitions(docs):
+    spark, got = docs.sparkSession, []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("3", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append(sorted((str(r.doc_id), r.n_tokens, round(r.score, 7)) for r in hpylm.score(docs).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("customers, rate", [(2, 1.7), (12, 1.7), (64, 0.2), (64, 9.0), (65, 1.7), (300, 0.3), (300, 6.0), (300, 25.0), (300, 60.0), (900, 150.0)])
+def test_hpylm_draws_follow_the_restaurant(customers, rate):
+    """Tables drawn against their exact chances, S(c, t) rate**t, below and above the number of customers where the method changes."""
+    discount, n = 0.6, 20_000
+    t = np.arange(1, customers + 1)
+    logs = hpylm.log_stirling(discount, customers)[customers, 1:] + t * math.log(rate)
+    p = np.exp(logs - logs.max())
+    p /= p.sum()
+    mean, sd = (p * t).sum(), math.sqrt((p * t * t).sum() - (p * t).sum() ** 2)
+    key = np.random.default_rng(2).integers(0, 1 << 63, n).astype(np.uint64)
+    got = hpylm.draw_tables(np.full(n, customers), np.full(n, rate), discount, hpylm.log_stirling(discount), key, 3)
+    assert abs(got.mean() / mean - 1) < 0.05 and abs(got.std() - sd) < 0.25 * max(sd, 0.5)
+
+
+def test_hpylm_binomial():
+    key = np.random.default_rng(1).integers(0, 1 << 63, 50_000).astype(np.uint64)
+    for n, p in ((5, 0.3), (40, 0.9), (1000, 0.002), (100_000, 0.4), (7, 0.0), (7, 1.0), (0, 0.5)):
+        x = hpylm.binomial(np.full(50_000, n), np.full(50_000, p), key, 7)
+        assert abs(x.mean() - n * p) < 0.02 * max(1, n * p) and abs(x.std() - math.sqrt(n * p * (1 - p))) < 0.02 * max(1, n**0.5) and x.min() >= 0 and x.max() <= n
+
+
+def test_hpylm_score_by_hand(docs):
+    """One bucket's predictive probabilities, token by token from its dishes, give the operator's scores."""
+    spark = docs.sparkSession
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "a b a", "b a c c", "a b d", "e a b", ""] * 4)], "doc_id long, text string")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        got = {r.doc_id: r for r in hpylm.score(rows, burn=1, samples=1).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    mask = (1 << hpylm.CONTEXT_BITS) - 1
+    code = lambda w: xxhash.xxh3_64_intdigest(w.encode()) if w else hpylm.END
+    events = {i: [(code(w), c) for w, c in zip([*t.split(), ""], [hpylm.START & mask, *(code(w) & mask for w in t.split())], strict=True)] for i, t in ((r.doc_id, r.text) for r in rows.collect())}
+    train = [e for i, x in events.items() if not got[i].held_out for e in x]
+    pairs, words = Counter(train), sorted({w for w, _ in train})
+    key = lambda w, c: np.array([w ^ ((c + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)], np.uint64)
+    one = sum(v == 1 for v in pairs.values())
+    two_ = sum(v == 2 for v in pairs.values())
+    d = min(0.95, max(0.05, one / (one + 2 * two_) if one else 0.5))
+    dishes = Counter(w for w, _ in pairs)  # every word is heavy here: each is seated on the driver
+    t = {p: 1 for p in pairs}
+    t1 = {w: 1 for w in words}
+    V, d1 = len(words), 0.5
+    S = lambda x: hpylm.log_stirling(x)
+
+    def unigram(c1, t1, w):
+        fresh = (1 + d1 * sum(t1.values())) / (V + 1)
+        return (max(c1.get(w, 0) - d1 * t1.get(w, 0), 0) + fresh) / (sum(c1.values()) + 1)
+
+    def tables_of(u, t):
+        return sum(v for (_, c), v in t.items() if c == u)
+
+    def seat(salt, base, c1, t1):
+        return {(w, c): int(hpylm.draw_tables(np.array([n]), np.array([(1 + d * tables_of(c, base)) * unigram(c1, t1, w)]), d, S(d), key(w, c), salt)[0]) for (w, c), n in pairs.items()}
+
+    c1 = dict(dishes)
+    after = seat(1 << 40, t, c1, t1)  # the first pass' sweep
+    sums = Counter()
+    for (w, _), v in after.items():
+        sums[w] += v
+    rate = (1 + d1 * sum(t1.values())) / (V + 1)
+    t1 = {w: int(hpylm.draw_tables(np.array([sums[w]]), np.array([rate]), d1, S(d1), np.array([w], np.uint64), (1 << 40) + 1)[0]) for w in words}
+    last = seat((1 << 40 | 1 << 11) + 1, after, sums, t1)
+    total = Counter()
+    for (_, c), n in pairs.items():
+        total[c] += n
+    for i, x in events.items():
+        want = sum(math.log10((max(0, pairs.get(e, 0) - d * last.get(e, 0)) + (1 + d * tables_of(e[1], after)) * unigram(sums, t1, e[0])) / (total[e[1]] + 1)) for e in x)
+        assert math.isclose(got[i].score, want, rel_tol=1e-6), (i, got[i].score, want)
