@@ -227,19 +227,24 @@ def write_shards(docs: DataFrame, vocabulary: str, folder: str, shard_tokens: in
     ids = common.arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), encode, "doc_id long, ids binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # bounds from the id column alone: a range exchange would run the tokenizer once more to sample
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / parts for k in range(1, parts)])).first()[0] if parts > 1 else []
-    bounds = F.array(*[F.lit(int(c)).cast("long") for c in sorted(set(cuts or []))]).cast("array<bigint>")
-    place = F.when(F.col("doc_id").isNull(), F.lit(parts - 1)).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))))
-    ordered = ids.repartitionById(parts, place.cast("int")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "ids")
+    doc_id = F.col("doc_id").cast("long")
+    cuts, known, null = docs.agg(F.percentile_approx(doc_id, [k / parts for k in range(1, parts + 1)]), F.count(doc_id), F.count(F.when(doc_id.isNull(), 1))).first()
+    bounds = F.array(*[F.lit(int(c)).cast("long") for c in sorted(set((cuts or [])[:-1]))]).cast("array<bigint>")
+    # rows without an id come last, in as many partitions more as their number asks for
+    more = min(parts, -(-null * parts // max(known, parts)))
+    place = F.when(F.col("doc_id").isNull(), parts + F.pmod(F.xxhash64("ids"), F.lit(max(1, more)))).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))))
+    ordered = ids.repartitionById(parts + more, place.cast("int")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "ids")
     files = common.stage(ordered.mapInArrow(pack, "path string, part long, shard long, n_tokens long"), "shards")
     return files
 
 
 def read_shards(files: DataFrame, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
-    # a row for each shard file, some bytes each: the prefix sum over them is a small window
-    order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = files.withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).cast("long"))
+    # where a shard starts: what the partitions before it hold (a row for each partition), and the shards before it in its own
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = files.groupBy("part").agg(F.sum("n_tokens").alias("all")).select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("from"))
+    own = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    placed = files.withColumn("own", F.coalesce(F.sum("n_tokens").over(own), F.lit(0))).join(bases, "part").withColumn("base", (F.col("own") + F.col("from")).cast("long"))
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.select("path", "base").repartition(n)
 

@@ -792,3 +792,27 @@ def test_hpylm_score_by_hand(docs):
     for i, x in events.items():
         want = sum(math.log10((max(0, pairs.get(e, 0) - d * last.get(e, 0)) + (1 + d * tables_of(e[1], after)) * unigram(sums, t1, e[0])) / (total[e[1]] + 1)) for e in x)
         assert math.isclose(got[i].score, want, rel_tol=1e-6), (i, got[i].score, want)
+
+
+def test_wavelet_spreads_rows_without_id(spark):
+    rows = [(None, f"word{k} " * (k % 9)) for k in range(300)] + [(k, "a b c") for k in range(40)]
+    got = wavelet.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), VOCAB).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [*range(40), *[None] * 300]
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert wavelet.round_trip(spark.createDataFrame(rows[:300], "doc_id long, text string"), VOCAB).count() == 300
+
+
+def test_packing_depends_on_its_tiers(docs):
+    rows = docs.select("doc_id", "text")
+    sizes = {}
+    for tiers in ((256, 512, 1024, 2048), (2048,), (512, 2048)):
+        got = packing.pack(rows, VOCAB, tiers=tiers, pool_tokens=20_000).collect()
+        windows = Counter()
+        for r in got:
+            windows[r.sequence_id] += r.length
+        sizes[tiers] = sorted(windows.values())
+        assert {r.tier for r in got} <= set(tiers)
+    assert sizes[256, 512, 1024, 2048] != sizes[2048,] != sizes[512, 2048] and {256, 512, 2048} <= set(sizes[256, 512, 1024, 2048])  # the corpus has few texts of the third tier
