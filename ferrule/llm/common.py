@@ -130,7 +130,7 @@ class WordIds(dict):
     chunks are held, those not seen since the last time that happened go.
     """
 
-    def __init__(self, path: str, cap: int = 300_000):
+    def __init__(self, path: str, cap: int = 400_000):
         single_threaded()
         from tokenizers import Tokenizer
 
