@@ -188,7 +188,7 @@ def label_model(kinds: dict[int, int], voters: int = VOTERS, edges: tuple[tuple[
             step = np.linalg.solve(hess, grad)
             step *= min(1.0, 2 / (np.abs(step).max() + 1e-9))
             a = np.clip(a + step[: 2 * m].reshape(2, m), -12, 12)
-            phi = np.clip(phi + step[2 * m :], -6, 6)
+            phi = np.clip(phi + step[2 * m :], -12, 12)
         against = a[1] < a[0]
         a[:, against] = a[:, against].mean(0)  # a voter against its own sense says nothing
     rate = np.stack([states(y)[0] @ bits for y in (0, 1)])

@@ -479,18 +479,18 @@ def test_voters_rest_on_their_own_grounds():
 
 
 def test_label_model_counts_coupled_voters_once():
-    """A voter that mostly repeats another is explained by their coupling; taken for independent, the pair claims too much."""
+    """A voter that repeats another six times in ten is explained by their coupling; taken for independent, the pair claims too much."""
     rng = np.random.default_rng(5)
     y = rng.random(80_000) < 0.2
     hit = np.where(y[:, None], rng.random((80_000, 4)) < [0.6, 0.7, 0.6, 0], rng.random((80_000, 4)) < [0.1, 0.05, 0.08, 0])
-    hit[:, 3] = np.where(rng.random(80_000) < 0.9, hit[:, 0], rng.random(80_000) < 0.05)
+    hit[:, 3] = np.where(rng.random(80_000) < 0.6, hit[:, 0], rng.random(80_000) < 0.05)
     kinds = Counter((hit << np.arange(4)).sum(1).tolist())
     true = {m: (y & ((hit << np.arange(4)).sum(1) == m)).sum() / n for m, n in kinds.items()}
     error = {}
     for edges in ((), ((0, 3),)):
         _, _, phi, post = weak_labels.label_model(kinds, 4, edges, penalty=1e-4)
         error[edges] = sum(n * abs(post[m] - true[m]) for m, n in kinds.items()) / 80_000
-    assert phi[0] > 1 and error[((0, 3),)] < 0.05 and error[((0, 3),)] < 0.5 * error[()]
+    assert phi[0] > 3 and error[((0, 3),)] < 0.02 and error[((0, 3),)] < 0.2 * error[()]
 
 
 def test_label_model_finds_accuracies():
