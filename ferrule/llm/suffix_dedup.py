@@ -13,11 +13,14 @@ differ.  Runs are what is compared, and only with runs of the same anchor:
    first two places are kept for 3; further ones are removed whole, as the second is.
 3. A second scan cuts out the bytes of those, and sends them by anchor hash.
 4. Each task builds collections of them (:class:`Columns`): every round inserts
-   one symbol a run, from the last to the first, into the collection's transform,
+   one symbol a document, from the last to the first, into the collection's transform,
    and updates the common-prefix lengths next to it, both held in sequential
-   files that each round reads and writes anew.  Suffixes with common prefixes of
-   100 bytes are equal windows; all but the earliest are removed.  So the transform
-   decides each content that occurs twice, and each window that different contents share.
+   files that each round reads and writes anew.  A symbol is five bytes, and a run
+   makes five documents, cut into symbols from each of its last five bytes on, so that
+   every window begins with a symbol of one of them and rounds are at most 33.
+   Suffixes with common prefixes of 20 symbols (100 bytes) are equal windows; all but
+   the earliest are removed.  So the transform decides each content that occurs twice,
+   and each window that different contents share.
 5. A last scan turns removed windows into bytes.
 
 An anchor with more than ``crowd`` contents (a passage in very many settings)
@@ -130,35 +133,57 @@ def by_source(records: np.ndarray, parts: int, kind: int):
         yield s % parts, kind, s, records[group].tobytes()
 
 
+def by_symbol(x: np.ndarray) -> np.ndarray:
+    """The stable order of symbols, by 16 bits at a time: numpy sorts no wider integers by radix."""
+    if x.itemsize <= 2:
+        return np.argsort(x, kind="stable")
+    low = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    return low[np.argsort((x >> 16).astype(np.uint16)[low], kind="stable")]
+
+
 class Columns:
     """Transform and common-prefix lengths of a collection, built column by column.
 
-    ``texts`` are byte strings.  After round j the collection holds all suffixes of
-    up to j bytes (in round 0 the empty ones, in the order of the texts).  A round
-    needs the last one's transform and lengths and one symbol a text; the new
-    suffix's place follows from its symbol's rank in the transform, and its common
-    prefixes from the least length on the way to the symbol's neighbours there.
-    Lengths are held up to 255.
+    ``texts`` are byte strings.  A symbol is ``width`` bytes.  The documents of the
+    collection are the texts cut into symbols from the last byte but 0, 1, ...,
+    ``width`` - 1 on, so that each place of a text begins a suffix of one of them;
+    document ``width * text + skipped``.  Wide symbols make as many rows in fewer
+    rounds.  Single bytes are symbols by their value plus 1, wider ones by their rank
+    in the collection; 0 is none.
+
+    After round j the collection holds all suffixes of up to j symbols (in round 0
+    the empty ones, in the order of the documents).  A round needs the last one's
+    transform and lengths and one symbol a document; the new suffix's place follows
+    from its symbol's rank in the transform, and its common prefixes from the least
+    length on the way to the symbol's neighbours there.  Lengths count symbols and
+    are held up to 255.
     """
 
-    def __init__(self, texts: list[bytes], folder: str):
-        self.size = np.array([len(t) for t in texts], np.int64)
-        m, longest = len(texts), int(self.size.max(initial=0))
+    def __init__(self, texts: list[bytes], folder: str, width: int = 1):
+        length = np.array([len(t) for t in texts], np.int64)
+        last = ((np.cumsum(length))[:, None] - np.arange(width)).ravel()  # where a document's last symbol ends
+        self.size = (np.maximum(length[:, None] - np.arange(width), 0) // width).ravel()
+        m, longest = len(self.size), int(self.size.max(initial=0))
         flat = np.frombuffer(b"".join(texts), np.uint8)
-        # symbols are bytes plus 1; UTF-8 has no byte 255, so that 8 bits, which sort twice as fast, do for text
-        self.kind = np.uint8 if flat.max(initial=0) < 255 else np.uint16
-        grid = np.zeros((longest, m), self.kind)  # row j: the symbol before the suffix of j bytes, 0: none
-        begin = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
-        for j in range(longest):
-            ok = self.size > j
-            grid[j, ok] = flat[(begin + self.size - 1 - j)[ok]].astype(self.kind) + self.kind(1)
+        live = self.size > np.arange(longest)[:, None]
+        at = (last - width * (np.arange(longest)[:, None] + 1))[live]
+        symbols = np.zeros(len(at), np.int64)
+        for k in range(width):
+            symbols = symbols << 8 | flat[at + k]
+        if width > 1:
+            symbols = np.unique(symbols, return_inverse=True)[1]
+        most = int(symbols.max(initial=0))
+        # UTF-8 has no byte 255, so that 8 bits, which sort twice as fast, do for single bytes of text
+        self.kind = np.uint8 if most < 0xFF else np.uint16 if most < 0xFFFF else np.uint32
+        grid = np.zeros((longest, m), self.kind)  # row j: the symbol before the suffix of j symbols
+        grid[live] = symbols + 1
         self.store, root = common.filesystem(folder)
         self.store.create_dir(root, recursive=True)
         self.name, self.generation = f"{root}/{uuid.uuid4().hex}", 0
-        self.place = np.arange(m)  # of each text's longest suffix so far
+        self.place = np.arange(m)  # of each document's longest suffix so far
         self._write(grid[0] if longest else np.zeros(m, self.kind), np.zeros(m, np.uint8))
         for j in range(1, longest + 1):
-            self._round(grid[j] if j < longest else np.zeros(m, self.kind), self.size >= j)
+            self._round(grid[j] if j < longest else np.zeros(m, self.kind), live[j - 1])
 
     def _paths(self) -> list[str]:
         return [f"{self.name}-{self.generation}.{kind}" for kind in ("bwt", "lcp")]
@@ -185,119 +210,107 @@ class Columns:
             self.store.delete_file(path)
 
     def _round(self, before: np.ndarray, live: np.ndarray) -> None:
-        """Insert, for each live text, the suffix one byte longer; ``before``: the symbol in front of it."""
+        """Insert, for each live document, the suffix one symbol longer; ``before``: the symbol in front of it."""
         bwt, lcp = self.read()
         n = len(bwt)
         # rows by (symbol, row): the rank of a row there is the place of its suffix with the symbol in front,
         # once all that are to come are in; rows with no symbol (0) lead to none
-        order = np.argsort(bwt, kind="stable")
+        order = by_symbol(bwt)
         none = n - int(np.count_nonzero(bwt))
-        who = np.flatnonzero(live)
-        old = self.place[who]
-        mark = np.zeros(n, bool)
-        mark[old] = True
-        r = np.flatnonzero(mark[order])  # ranks of the texts' rows, ascending; the texts in that order:
-        by = np.argsort(bwt[old].astype(np.int64) * n + old)
-        who, old = who[by], old[by]
+        whose = np.full(n, -1, np.int32)  # the documents that go on at these rows
+        whose[self.place[live]] = np.flatnonzero(live)
+        r = np.flatnonzero((whose >= 0)[order])  # ranks of the documents' rows, ascending
+        old = order[r]
+        who = whose[old]
         at = r - none + len(self.size)  # place after this round; the empty suffixes stay in front
         # common prefixes with the neighbours that start with the same symbol
         symbol = bwt[old]
-        up = np.where(r > 0, order[r - 1], 0)
+        up, down = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, n - 1)]
         same_up = (r > 0) & (bwt[up] == symbol)
-        down = np.where(r + 1 < n, order[np.minimum(r + 1, n - 1)], 0)
         same_down = (r + 1 < n) & (bwt[down] == symbol)
         least = Minima(lcp)
-        with_up = np.where(same_up, np.minimum(255, least(up + 1, old) + 1), 0).astype(np.uint8)
-        with_down = np.where(same_down, np.minimum(255, least(old + 1, down) + 1), 0).astype(np.uint8)
+        with_up, with_down = np.zeros(len(r), np.uint8), np.zeros(len(r), np.uint8)
+        with_up[same_up] = np.minimum(254, least(up[same_up] + 1, old[same_up])) + 1
+        with_down[same_down] = np.minimum(254, least(old[same_down] + 1, down[same_down])) + 1
         total = n + len(who)
-        fresh = np.zeros(total, bool)
-        fresh[at] = True
+        stay = np.ones(total, bool)
+        stay[at] = False
         new_bwt, new_lcp = np.empty(total, self.kind), np.empty(total, np.uint8)
-        stay = ~fresh
         new_bwt[stay], new_lcp[stay] = bwt, lcp
         new_bwt[at], new_lcp[at] = before[who], with_up
         # the row after an inserted one: its prefix in common with it (inserted rows know their own)
         after = at + 1
         ok = after < total
-        ok[ok] &= ~fresh[after[ok]]
+        ok[ok] &= stay[after[ok]]
         new_lcp[after[ok]] = with_down[ok]
         self.place[who] = at
         self._write(new_bwt, new_lcp)
 
 
 class Minima:
-    """Least value of ranges, by a table over blocks of 32 and the ends of the range."""
+    """Least value of ranges: tables of all ranges of 1, 2, 4, ..., 32 values, and of 1, 2, 4, ... blocks of 32."""
 
-    B = 32
+    LEVELS, B = 6, 32
 
     def __init__(self, x: np.ndarray):
-        n = -(-len(x) // self.B)
-        self.x = np.full((n + 1) * self.B, 255, np.uint8)
-        self.x[: len(x)] = x
-        level = self.x.reshape(-1, self.B).min(1)
-        self.table = [level]
-        k = 1
-        while 2 * k <= len(level):
-            last = self.table[-1]
-            self.table.append(np.minimum(last[: len(last) - k], last[k:]))
-            k *= 2
-        self.views = np.lib.stride_tricks.sliding_window_view(self.x, self.B)
+        self.near = self._table(x, self.LEVELS)
+        blocks = self.near[-1][:: self.B][: len(x) // self.B]
+        self.far = self._table(blocks, max(1, len(blocks).bit_length()))
+
+    @staticmethod
+    def _table(x: np.ndarray, levels: int) -> np.ndarray:
+        """Row v: the least of the 2**v values from each place; at the end, of those there are."""
+        out = np.empty((levels, len(x)), x.dtype)
+        out[0] = x
+        for v in range(1, levels):
+            out[v] = out[v - 1]
+            half = 1 << (v - 1)
+            if half < len(x):
+                np.minimum(out[v - 1, :-half], out[v - 1, half:], out=out[v, :-half])
+        return out
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Of positions lo to hi, both included; 255 where empty."""
-        lo, hi = lo.astype(np.int64), hi.astype(np.int64)
-        out = np.full(len(lo), 255, np.int64)
-        short = hi - lo < self.B
-        s = np.flatnonzero(short & (hi >= lo))
-        ramp = np.arange(self.B)
-        for k in range(0, len(s), 1 << 14):
-            p = s[k : k + (1 << 14)]
-            w = self.views[lo[p]]
-            out[p] = np.where(ramp <= (hi[p] - lo[p])[:, None], w, 255).min(1)
-        long = np.flatnonzero(~short)
-        for k in range(0, len(long), 1 << 14):
-            p = long[k : k + (1 << 14)]
-            a, b = lo[p] // self.B + 1, hi[p] // self.B  # whole blocks a to b - 1
-            got = np.minimum(self.views[lo[p]].min(1), self.views[hi[p] - self.B + 1].min(1)).astype(np.int64)
-            some = b > a
-            level = np.zeros(len(p), np.int64)
-            level[some] = np.log2((b - a)[some]).astype(np.int64)
-            for v in np.unique(level[some]).tolist():
-                q = np.flatnonzero(some & (level == v))
-                t = self.table[v]
-                got[q] = np.minimum(got[q], np.minimum(t[a[q]], t[b[q] - (1 << v)]))
-            out[p] = got
-        return out
+        """Of positions lo to hi, both included."""
+        length = hi - lo + 1
+        v = np.minimum(np.frexp(length)[1] - 1, self.LEVELS - 1)
+        flat, n = self.near.ravel(), self.near.shape[1]
+        got = np.minimum(flat[v * n + lo], flat[v * n + hi + 1 - (1 << v)])
+        long = np.flatnonzero(length > 2 * self.B)
+        a, b = lo[long] // self.B + 1, hi[long] // self.B  # whole blocks a to b - 1
+        v = np.frexp(b - a)[1] - 1
+        got[long] = np.minimum(got[long], np.minimum(self.far[v, a], self.far[v, b - (1 << v)]))
+        return got
 
 
 def windows(texts: list[bytes], folder: str, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts, starts and group numbers of strings of ``k`` bytes that occur more than once; equal ones share the number."""
-    c = Columns(texts, folder)
+    width = next(w for w in (5, 4, 2, 1) if k % w == 0)
+    c = Columns(texts, folder, width)
     bwt, lcp = c.read()
     c.close()
-    n = len(bwt)
-    order = np.argsort(bwt, kind="stable")
+    n, heads = len(bwt), len(c.size)
+    order = by_symbol(bwt)
     none = n - int(np.count_nonzero(bwt))
-    heads = len(texts)
-    # place -> (text, start): walk from each text's empty suffix to its whole
-    text, start = np.full(n, -1, np.int64), np.zeros(n, np.int64)
+    # place -> (document, symbols): walk from each document's empty suffix to its whole
+    document, symbols = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n) - none + heads
-    who, at = np.arange(len(texts)), np.arange(len(texts))
+    who, at = np.arange(heads), np.arange(heads)
     for j in range(int(c.size.max(initial=0)) + 1):
-        text[at], start[at] = who, c.size[who] - j
+        document[at], symbols[at] = who, j
         go = c.size[who] > j
         who, at = who[go], rank[at[go]]
-    wide = c.size[text] - start >= k
-    joined = lcp >= k  # with the row before
+    joined = lcp >= k // width  # with the row before
     group = np.cumsum(~joined)
-    rows = np.flatnonzero(wide)
+    rows = np.flatnonzero(symbols >= k // width)
     if not len(rows):
         return rows, rows, rows
     g = group[rows]
     same = g[1:] == g[:-1]
     rows, g = (x[np.append(False, same) | np.append(same, False)] for x in (rows, g))
-    return text[rows], start[rows], g
+    text, skipped = np.divmod(document[rows], width)
+    length = np.array([len(t) for t in texts], np.int64)
+    return text, length[text] - skipped - width * symbols[rows], g
 
 
 def later(texts: list[bytes], folder: str, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -197,6 +197,43 @@ def test_columns_against_sorting(tmp_path):
         c.close()
 
 
+@pytest.mark.parametrize("width", [1, 2, 4, 5])
+def test_columns_of_wide_symbols(tmp_path, width):
+    rnd = random.Random(width)
+    for k in (width, 4 * width):
+        texts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(0, 60))) for _ in range(12)]
+        c = suffix_dedup.Columns(texts, f"file://{tmp_path}/c", width)
+        _, lcp = c.read()
+        c.close()
+        # every suffix of every text is there once, as far as it fills symbols
+        assert len(lcp) == sum(1 for t in texts for skipped in range(width) for _ in range(max(0, len(t) - skipped) // width + 1))
+        where = {}
+        for i, t in enumerate(texts):
+            for s in range(len(t) - k + 1):
+                where.setdefault(t[s : s + k], set()).add((i, s))
+        want = sorted(sorted(x) for x in where.values() if len(x) > 1)
+        got = {}
+        for i, s, g in zip(*(x.tolist() for x in suffix_dedup.windows(texts, f"file://{tmp_path}/c", k)), strict=True):
+            got.setdefault(g, set()).add((i, s))
+        assert sorted(sorted(x) for x in got.values()) == want
+
+
+def test_symbols_of_any_range_are_sorted():
+    rnd = np.random.default_rng(1)
+    for most, kind in ((200, np.uint8), (60_000, np.uint16), (1 << 20, np.uint32)):
+        x = rnd.integers(0, most, 5000).astype(kind)
+        assert np.array_equal(suffix_dedup.by_symbol(x), np.argsort(x, kind="stable"))
+
+
+def test_least_of_ranges():
+    rnd = np.random.default_rng(2)
+    for n in (1, 5, 31, 32, 33, 64, 100, 1000, 5000):
+        x = rnd.integers(0, 255, n).astype(np.uint8)
+        lo = rnd.integers(0, n, 400)
+        hi = rnd.integers(lo, n)
+        assert suffix_dedup.Minima(x)(lo, hi).tolist() == [x[a : b + 1].min() for a, b in zip(lo, hi, strict=True)]
+
+
 def _same_order(order, texts, c):
     # equal suffixes are ordered by what the transform's rounds make of them: compare as sets within ties
     bwt, _ = c.read()
