@@ -15,10 +15,10 @@ differ.  Runs are what is compared, and only with runs of the same anchor:
 4. Each task builds collections of them (:class:`Columns`): every round inserts
    one symbol a document, from the last to the first, into the collection's transform,
    and updates the common-prefix lengths next to it, both held in sequential
-   files that each round reads and writes anew.  A symbol is five bytes, and a run
-   makes five documents, cut into symbols from each of its last five bytes on, so that
-   every window begins with a symbol of one of them and rounds are at most 33.
-   Suffixes with common prefixes of 20 symbols (100 bytes) are equal windows; all but
+   files that each round reads and writes anew.  A symbol is ten bytes, and a run
+   makes ten documents, cut into symbols from each of its last ten bytes on, so that
+   every window begins with a symbol of one of them and rounds are at most 16.
+   Suffixes with common prefixes of 10 symbols (100 bytes) are equal windows; all but
    the earliest are removed.  So the transform decides each content that occurs twice,
    and each window that different contents share.
 5. A last scan turns removed windows into bytes.
@@ -38,9 +38,11 @@ Order is (doc_id, row, start), null doc_ids last; null text is empty; texts unde
 from __future__ import annotations
 
 import hashlib
+import struct
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -148,8 +150,8 @@ class Columns:
     collection are the texts cut into symbols from the last byte but 0, 1, ...,
     ``width`` - 1 on, so that each place of a text begins a suffix of one of them;
     document ``width * text + skipped``.  Wide symbols make as many rows in fewer
-    rounds.  Single bytes are symbols by their value plus 1, wider ones by their rank
-    in the collection; 0 is none.
+    rounds.  Single bytes are symbols by their value plus 1, wider ones by a
+    number that the collection gives them; 0 is none.
 
     After round j the collection holds all suffixes of up to j symbols (in round 0
     the empty ones, in the order of the documents).  A round needs the last one's
@@ -170,8 +172,8 @@ class Columns:
         symbols = np.zeros(len(at), np.int64)
         for k in range(width):
             symbols = symbols << 8 | flat[at + k]
-        if width > 1:
-            symbols = np.unique(symbols, return_inverse=True)[1]
+            if width > 1 and (k == width - 1 or k % 4 == 3):  # numbers of what the bytes so far are, below 2**31
+                symbols = pd.factorize(symbols)[0]
         most = int(symbols.max(initial=0))
         # UTF-8 has no byte 255, so that 8 bits, which sort twice as fast, do for single bytes of text
         self.kind = np.uint8 if most < 0xFF else np.uint16 if most < 0xFFFF else np.uint32
@@ -284,7 +286,7 @@ class Minima:
 
 def windows(texts: list[bytes], folder: str, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Texts, starts and group numbers of strings of ``k`` bytes that occur more than once; equal ones share the number."""
-    width = next(w for w in (5, 4, 2, 1) if k % w == 0)
+    width = next(w for w in (10, 5, 4, 2, 1) if k % w == 0)
     c = Columns(texts, folder, width)
     bwt, lcp = c.read()
     c.close()
@@ -344,7 +346,7 @@ def _shelve(rows: DataFrame, parts: int, name: str) -> str:
 DUP, WANTED, RUNS = 1, 2, 3
 
 
-def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataFrame:
+def removed(docs: DataFrame, crowd: int = 4096, collection: int = 1024) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -428,7 +430,11 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataF
         want = np.concatenate([np.zeros(0, WANT), *(np.frombuffer(x, WANT) for x in _notes(first, src, parts, WANTED))])
         want = want[np.argsort(want["row"], kind="stable")]
         rows_of = np.ascontiguousarray(want["row"])
-        used = 0
+        heads = np.zeros(len(want), RUN_HEAD)
+        for f in ("anchor", "n", "row", "start"):
+            heads[f] = want[f]
+        place, crowded = spread(want["anchor"], parts), want["crowded"].copy()
+        used, size = 0, RUN_HEAD.itemsize
         for b in batches:
             out: dict[int, list[bytes]] = {}
 
@@ -443,13 +449,15 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataF
                 used += hi - lo
                 raw = text.encode("utf-8", "surrogatepass")
                 key = NO_ID if doc_id is None else doc_id
-                for w in want[lo:hi]:
-                    s, n = int(w["start"]), int(w["n"])
-                    if w["crowded"]:
+                heads["doc_id"][lo:hi] = key
+                packed = heads[lo:hi].tobytes()
+                spots = zip(want["start"][lo:hi].tolist(), want["n"][lo:hi].tolist(), place[lo:hi].tolist(), crowded[lo:hi].tolist(), strict=True)
+                for i, (s, n, to, every) in enumerate(spots):
+                    if every:
                         for k in range(s, s + n):
                             send(xxhash.xxh3_64_intdigest(raw[k : k + K]), key, row, k, 1, raw[k : k + K])
                     else:
-                        send(int(w["anchor"]), key, row, s, n, raw[s : s + n + K - 1])
+                        out.setdefault(to, []).append(packed[i * size : (i + 1) * size] + raw[s : s + n + K - 1])
             if out:
                 yield blobs([(p, RUNS, -1, b"".join(x)) for p, x in out.items()])
         if used != len(want):
@@ -461,15 +469,16 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataF
             for data in b.column(3).to_pylist():
                 at = 0
                 while at < len(data):
-                    h = np.frombuffer(data, RUN_HEAD, 1, at)
+                    size = struct.unpack_from("<i", data, at + RUN_HEAD.fields["n"][1])[0] + K - 1
+                    heads.append(data[at : at + RUN_HEAD.itemsize])
                     at += RUN_HEAD.itemsize
-                    size = int(h["n"][0]) + K - 1
-                    heads.append(h)
                     texts.append(data[at : at + size])
                     at += size
         if not heads:
             return
-        h = np.concatenate(heads)
+        h = np.frombuffer(b"".join(heads), RUN_HEAD)
+        heads.clear()
+        anchors = h["anchor"].tolist()
         order = np.lexsort((h["start"], h["row"], h["doc_id"], h["anchor"]))
         out = []
 
@@ -490,12 +499,12 @@ def removed(docs: DataFrame, crowd: int = 4096, collection: int = 4096) -> DataF
             members.clear()
 
         for i in order.tolist():
-            if h["anchor"][i] != last:
+            if anchors[i] != last:
                 if len(group) > 1:
                     members.extend(group)
                 if len(members) >= collection:
                     solve()
-                group, seen, last = [], {}, h["anchor"][i]
+                group, seen, last = [], {}, anchors[i]
             seen[texts[i]] = seen.get(texts[i], 0) + 1
             (group if seen[texts[i]] <= 2 else equal).append(i)
         if len(group) > 1:

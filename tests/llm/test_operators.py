@@ -197,7 +197,7 @@ def test_columns_against_sorting(tmp_path):
         c.close()
 
 
-@pytest.mark.parametrize("width", [1, 2, 4, 5])
+@pytest.mark.parametrize("width", [1, 2, 4, 5, 10])
 def test_columns_of_wide_symbols(tmp_path, width):
     rnd = random.Random(width)
     for k in (width, 4 * width):
